@@ -299,7 +299,7 @@ def _any(parts: list[Column]) -> Column:
 
 def sanitised(c: Column) -> Column:
     """A key: ASCII letters and digits in lower case, other runs as one hyphen."""
-    return F.trim(F.lit("-"), F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", "-")))
+    return F.trim(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", "-")), F.lit("-"))
 
 
 def occurrence_key(kind: str, *parts: Column) -> Column:
