@@ -7,11 +7,11 @@ stand, so they meet in the group of that gram, and consecutive windows with
 one minimizer form a run that needs only one row. Per document there are about
 ``2 / (window - k + 2)`` rows a unit, not one.
 
-1. :func:`indexed` scans texts once: runs, and repeats inside the document.
-2. Exact copies are set aside but for the least doc_id (pre-aggregation on the
-   text's hash), so a hot group of copies costs one document.
-3. Grams found in two documents or more are counted with partial aggregation;
-   only their runs go on, with the slice of text that they cover.
+1. :func:`_index` scans texts once: grams of runs, and repeats inside a document.
+2. Of exact copies only the least doc_id goes on (pre-aggregation on the text's
+   hash), so a hot group of copies costs one document.
+3. Grams found in two different texts or more are counted with partial
+   aggregation; only their runs go on, with the slice of text that they cover.
 4. A resolver decides each window inside its gram's group. A gram with over
    ``hot`` rows is split by the window's offset to the gram into bands, as
    only windows at equal offsets can be equal; each row sends each band only
@@ -158,33 +158,37 @@ def repeated(keys: np.ndarray, keep_first: bool) -> np.ndarray:
     return flags
 
 
-INDEX = "doc_id long, h long, n long, grams array<long>, firsts array<int>, counts array<int>, offsets array<int>, los array<int>, his array<int>"
+def runs_and_repeats(x: np.ndarray, window: int, k: int, keep_first: bool) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """:func:`runs_of` a document, one of each different run, and half-open ranges
+    of the windows that the document itself repeats."""
+    g, first, count, offset = runs_of(x, window, k)
+    lo = hi = np.zeros(0, np.int32)
+    if len(g) > 1 and len(np.unique(g)) < len(g):
+        w = window_hashes(x, window)
+        lo, hi = spans(repeated(w, keep_first))
+        # equal runs have equal first and last windows
+        key = mixed(w[first]) + w[first + count - 1] * U64(3) + count.astype(U64)
+        _, only = np.unique(key, return_index=True)
+        only.sort()
+        g, first, count, offset = g[only], first[only], count[only], offset[only]
+    return (g, first, count, offset), lo, hi
+
+
+INDEX = "doc_id long, h long, n long, grams array<long>, los array<int>, his array<int>"
 
 
 def _index(unit: str, window: int, k: int, keep_first: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int32)
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            n, grams, los, his = [], [], [], []
             for text in as_bytes(batch.column("text")):
                 x = UNITS[unit](text)
-                g, first, count, offset = runs_of(x, window, k)
-                lo = hi = none
-                if len(g) > 1 and len(np.unique(g)) < len(g):  # the document repeats itself
-                    w = window_hashes(x, window)
-                    lo, hi = spans(repeated(w, keep_first))
-                    # one row for each different run; equal ones have equal first and last windows
-                    key = mixed(w[first]) + w[first + count - 1] * U64(3) + count.astype(U64)
-                    _, only = np.unique(key, return_index=True)
-                    only.sort()
-                    g, first, count, offset = g[only], first[only], count[only], offset[only]
-                for column, value in zip(out, (len(x), g.view(np.int64), first, count, offset, lo, hi), strict=True):
-                    column.append(value)
-            i32 = pa.int32()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("h"), pa.array(out[0], pa.int64()), lists(out[1], pa.int64()), *(lists([v.astype(np.int32) for v in c], i32) for c in out[2:])],
-                names=["doc_id", "h", "n", "grams", "firsts", "counts", "offsets", "los", "his"],
-            )
+                (g, *_), lo, hi = runs_and_repeats(x, window, k, keep_first)
+                n.append(len(x))
+                grams.append(np.unique(g).view(np.int64))
+                los.append(lo.astype(np.int32))
+                his.append(hi.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), lists(grams, pa.int64()), lists(los, pa.int32()), lists(his, pa.int32())], names=["doc_id", "h", "n", "grams", "los", "his"])
 
     return run
 
@@ -192,29 +196,31 @@ def _index(unit: str, window: int, k: int, keep_first: bool) -> Callable:
 CONTEXT = "g long, band int, doc_id long, h long, first int, slice binary"
 
 
-def _slices(unit: str, window: int, hot_band: int) -> Callable:
-    """Cut the text that each run covers; hot runs are cut again by band."""
+def _slices(unit: str, window: int, k: int, keep_first: bool, hot_band: int) -> Callable:
+    """Cut the text that each run of a shared gram covers; hot runs are cut again
+    by band. Runs are found anew, which costs less than carrying them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gs, bands, ids, hs, firsts, cut = [], [], [], [], [], []
-            for doc, h, text, hits in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), as_bytes(batch.column("text")), batch.column("hits").to_pylist(), strict=True):
+            for doc, h, text, shared, hots in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), as_bytes(batch.column("text")), batch.column("shared"), batch.column("hots"), strict=True):
                 if unit == "word":
                     starts, ends = word_bounds(text)
-                for hit in hits:
-                    first, count, offset = hit["first"], hit["count"], hit["offset"]
-                    pieces = [(0, first, count)]
-                    if hit["hot"]:  # offset falls by one from window to window
-                        pieces = []
-                        a = 0
-                        while a < count:
-                            band = (offset - a) // hot_band
-                            b = min(count, a + (offset - a) - band * hot_band + 1)
-                            pieces.append((band + 1, first + a, b - a))
+                (g, first, count, offset), _, _ = runs_and_repeats(UNITS[unit](text), window, k, keep_first)
+                g = g.view(np.int64)
+                hot = np.isin(g, hots.values.to_numpy())
+                for i in np.flatnonzero(np.isin(g, shared.values.to_numpy())).tolist():
+                    pieces = [(0, int(first[i]), int(count[i]))]
+                    if hot[i]:  # offset falls by one from window to window
+                        pieces, a, many, off = [], 0, int(count[i]), int(offset[i])
+                        while a < many:
+                            band = (off - a) // hot_band
+                            b = min(many, off - band * hot_band + 1)
+                            pieces.append((band + 1, int(first[i]) + a, b - a))
                             a = b
                     for band, at, many in pieces:
                         last = at + many - 1 + window
-                        gs.append(hit["g"])
+                        gs.append(int(g[i]))
                         bands.append(band)
                         ids.append(doc)
                         hs.append(h)
@@ -237,19 +243,19 @@ def covered_windows(docs: DataFrame, unit: str, window: int, k: int, keep_first:
     whole, docs = docs, docs.select("doc_id", "h", "text")
     index = saved(docs.mapInArrow(_index(unit, window, k, keep_first), INDEX), "repeats")
 
+    # of equal texts, the least doc_id stands for all
     groups = index.groupBy("h", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    groups = groups.filter("copies > 1")
-    copies = index.select("doc_id", "h", "n").join(groups, ["h", "n"]).filter("n >= %d" % window)
+    copies = index.select("doc_id", "h", "n").join(groups.filter("copies > 1"), ["h", "n"]).filter("n >= %d" % window)
     removed = copies.filter("doc_id <> least") if keep_first else copies
-    spare = copies.filter("doc_id <> least").select("doc_id", "h").distinct()
-
-    alive = index.join(spare, ["doc_id", "h"], "left_anti")
-    run = alive.select("doc_id", "h", F.explode(F.arrays_zip("grams", "firsts", "counts", "offsets")).alias("r")).select("doc_id", "h", F.col("r.grams").alias("g"), F.col("r.firsts").alias("first"), F.col("r.counts").alias("count"), F.col("r.offsets").alias("offset"))
-    known = run.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("h").alias("ha"), F.max("h").alias("hb"))
-    known = known.filter("a <> b or ha <> hb").select("g", (F.col("c") > hot).alias("hot"))
-    hits = run.join(known, "g").groupBy("doc_id", "h").agg(F.collect_set(F.struct("g", "first", "count", "offset", "hot")).alias("hits"))
-    context = docs.join(hits, ["doc_id", "h"]).select("doc_id", "h", "text", "hits")
-    context = context.mapInArrow(_slices(unit, window, hot_band or max(1, (window - k + 1) // 10)), CONTEXT)
+
+    # only a gram's and a text's hash are dealt out, for every run
+    run = index.select("h", F.explode("grams").alias("g"))
+    known = run.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("a"), F.max("h").alias("b"))
+    known = known.filter("a <> b").select("g", (F.col("c") > hot).alias("hot"))
+    hits = run.join(known, "g").groupBy("h").agg(F.collect_set("g").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("g"))).alias("hots"))
+    hits = groups.select("h", F.col("least").alias("doc_id")).join(hits, "h")
+    context = docs.join(hits, ["doc_id", "h"]).select("doc_id", "h", "text", "shared", "hots")
+    context = context.mapInArrow(_slices(unit, window, k, keep_first, hot_band or max(1, (window - k + 1) // 10)), CONTEXT)
     context = context.repartition("g", "band").sortWithinPartitions("g", "band", "doc_id", "first")
     ranges = context.mapInArrow(resolver, RANGES)
 
