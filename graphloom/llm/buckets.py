@@ -75,7 +75,7 @@ def linked(rows: DataFrame, value: str, close: Callable, most: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tiles(batches):
-            node, part = table.column("node").to_numpy(), table.column("part").to_numpy()
+            node, part, ta, tb = (table.column(c).to_numpy() for c in ("node", "part", "ta", "tb"))
             values = table.column(value).to_pylist()
             edge = edges(table)
             a, b = [], []
@@ -83,7 +83,7 @@ def linked(rows: DataFrame, value: str, close: Callable, most: int) -> DataFrame
                 if hi - lo < 2:
                     continue
                 near = close(values[lo:hi], values[lo:hi])
-                if part[lo] != part[hi - 1] or (part[lo:hi] != part[lo]).any():  # two parts: only across
+                if ta[lo] != tb[lo]:  # two parts (one may be empty): only across
                     near &= part[lo:hi, None] != part[None, lo:hi]
                 if not near.any():
                     continue

@@ -110,7 +110,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, pivots: int = 48, dep
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in tiles(batches):
-            node, weight, mask, part, own = (t.column(c).to_numpy() for c in ("node", "weight", "mask", "part", "pivots"))
+            node, weight, mask, part, own, ta, tb = (t.column(c).to_numpy() for c in ("node", "weight", "mask", "part", "pivots", "ta", "tb"))
             vector, edge = t.column("vector").combine_chunks(), edges(t)
             found: list[list[np.ndarray]] = [[], [], []]
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -121,7 +121,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, pivots: int = 48, dep
                 norm = np.sqrt((raw * raw).sum(1))
                 near = (raw @ raw.T) / (norm[:, None] * norm[None]) >= cosine
                 np.fill_diagonal(near, False)
-                if (part[lo:hi] != part[lo]).any():  # two parts: only across
+                if ta[lo] != tb[lo]:  # two parts (one may be empty): only across
                     near &= part[lo:hi, None] != part[None, lo:hi]
                 a, b = np.nonzero(near)
                 rest, least = mask[lo:hi][a] & mask[lo:hi][b], np.zeros(len(a), np.int64)
