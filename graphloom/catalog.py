@@ -62,8 +62,13 @@ class Catalog:
 
     def lookup(self, fields: set[str] | None, only: set[str] | None = None) -> DataFrame:
         """``id, doc``: documents of all (or ``only`` some) collections by id, with
-        the fields asked for (None: all), so that scans read no others."""
+        the fields asked for (None: all), so that scans read no others. Collections
+        with none of these fields are left out: what is read of their documents is
+        null either way."""
         some = [c for n, c in sorted(self.collections.items()) if only is None or n in only]
+        wanted = (fields or set()) - {"_id"}
+        if wanted and "_key" not in wanted:
+            some = [c for c in some if wanted & set(c.df.columns)]
         if not some:
             return self.spark.createDataFrame([], "id string, doc struct<_id: string>")
         types: dict[str, list[T.DataType]] = {}

@@ -91,7 +91,9 @@ def text_search(docs: DataFrame, query: str, fields: list[str] | None = None, li
             continue
         listed = docs.filter(F.col(f).isNotNull()).select("_key", token_column(f).alias("t"))
         wanted = F.array(*map(F.lit, sorted(set(words))))
-        hits = listed.select("_key", F.size("t").alias("n"), F.explode(F.filter("t", lambda t: F.array_contains(wanted, t))).alias("w"))
+        # only texts that hold a word anywhere are split for scoring
+        some = docs.filter(F.lower(f).rlike("|".join(sorted(set(words)))))
+        hits = some.select("_key", token_column(f).alias("t")).select("_key", F.size("t").alias("n"), F.explode(F.filter("t", lambda t: F.array_contains(wanted, t))).alias("w"))
         tf = hits.groupBy("_key", "w").agg(F.count(F.lit(1)).alias("tf"), F.first("n").alias("n"))
         stats = listed.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("t")).alias("mean"))
         df = tf.groupBy("w").agg(F.count(F.lit(1)).alias("df"))  # a row for each word of the query
