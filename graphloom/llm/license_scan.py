@@ -128,9 +128,9 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, base: dict[str, str
                 words = [w for w in words if w]
                 folded = f" {b' '.join(words).decode()} "
                 spans = scanner.spans(folded)
-                places = scanner.places(folded) if spans else []
+                places = scanner.places(folded)
                 at = [p for p, _ in places]
-                score = max((1 - e / len(n) for n, _, _, e in spans), default=0.0)
+                score = max([1.0 if places else 0.0, *(1 - e / len(n) for n, _, _, e in spans)])
                 own = {label for _, label in places}
                 rows.append((len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(own)), ",".join(sorted(own | {notices[n] for n, _, _, _ in spans})), score, [{"notice": n, "start": s, "end": t, "edits": e} for n, s, t, e in spans]))
             columns = list(zip(*rows, strict=True)) or [()] * 8
