@@ -42,8 +42,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get at most 16 MB of rows at a time (one row, if that is
+    larger), as they hold several times a batch. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES or int(now.rstrip("b")) <= 0:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns an operator reads; a null text becomes empty."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import as_bytes, texts
+from .common import as_bytes, small_batches, texts
 
 WIDTH, FILTERS = 5, 8
 BLOCK, STRIDE, CHUNK = 64, 3, 4  # a chunk is 4 blocks of 64 bytes, and begins 3 blocks after the last
@@ -175,6 +175,7 @@ def scores(docs: DataFrame, network: Network | None) -> DataFrame:
             got = [network.score(t) if network else 0.5 for t in as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, "score"])
 
+    small_batches(docs.sparkSession)
     docs = docs.select([c for c in docs.columns if c.lower() != "score"])
     return docs.mapInArrow(run, StructType([*docs.schema, StructField("score", DoubleType())]))
 

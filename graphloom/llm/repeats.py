@@ -10,8 +10,10 @@ one minimizer form a run that needs only one row. Per document there are about
 1. :func:`_index` scans texts once: grams of runs, and repeats inside a document.
 2. Of exact copies only the least doc_id goes on (pre-aggregation on the text's
    hash), so a hot group of copies costs one document.
-3. Grams found in two different texts or more are counted with partial
-   aggregation; only their runs go on, with the slice of text that they cover.
+3. Grams that two different texts or more have are found. Each batch of documents
+   sends one text for each gram (with a count), packed by bucket, so a frequent
+   gram costs an entry for each batch. Only runs of such grams go on, with the
+   slice of text that they cover.
 4. A resolver decides each window inside its gram's group. A gram with over
    ``hot`` rows is split by the window's offset to the gram into bands, as
    only windows at equal offsets can be equal; each row sends each band only
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, lists, saved
+from .common import as_bytes, lists, partitions, saved, small_batches
 
 U64 = np.uint64
 CHUNK = 1 << 20  # units hashed at once; longer documents go in overlapping chunks
@@ -174,12 +176,23 @@ def runs_and_repeats(x: np.ndarray, window: int, k: int, keep_first: bool) -> tu
     return (g, first, count, offset), lo, hi
 
 
-INDEX = "doc_id long, h long, n long, grams array<long>, los array<int>, his array<int>"
+#: Rows of three kinds: a document (doc_id, h, n, los, his); a batch's grams of one
+#: bucket (bucket, packed); grams of a text that the batch itself shows are shared (h, grams).
+INDEX = "doc_id long, h long, n long, los array<int>, his array<int>, bucket int, packed binary, grams array<long>"
+SEEN = np.dtype([("g", "<i8"), ("h", "<i8"), ("many", "<u4")])  # gram, a text that has it, texts in the batch
 
 
-def _index(unit: str, window: int, k: int, keep_first: bool) -> Callable:
+def _index(unit: str, window: int, k: int, keep_first: bool, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in INDEX.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+
+        def rows(**columns: pa.Array) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(n, t) for c, t in zip(names, kinds, strict=True)], names=names)
+
         for batch in batches:
+            h = batch.column("h").to_numpy()
             n, grams, los, his = [], [], [], []
             for text in as_bytes(batch.column("text")):
                 x = UNITS[unit](text)
@@ -188,7 +201,64 @@ def _index(unit: str, window: int, k: int, keep_first: bool) -> Callable:
                 grams.append(np.unique(g).view(np.int64))
                 los.append(lo.astype(np.int32))
                 his.append(hi.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), lists(grams, pa.int64()), lists(los, pa.int32()), lists(his, pa.int32())], names=["doc_id", "h", "n", "grams", "los", "his"])
+            yield rows(doc_id=batch.column("doc_id"), h=batch.column("h"), n=pa.array(n, pa.int64()), los=lists(los, pa.int32()), his=lists(his, pa.int32()))
+            # of each gram one text goes on, however many of the batch have it
+            g, text = np.concatenate([*grams, np.zeros(0, np.int64)]), np.repeat(h, [len(x) for x in grams])
+            if not len(g):
+                continue
+            order = np.lexsort((text, g))
+            g, text = g[order], text[order]
+            new = np.concatenate([[True], (g[1:] != g[:-1]) | (text[1:] != text[:-1])])
+            g, text = g[new], text[new]
+            at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            many = np.diff(np.append(at, len(g)))
+            one = np.empty(len(at), SEEN)
+            one["g"], one["h"], one["many"] = g[at], text[at], many
+            bucket = (g[at].view(U64) % U64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            one, bucket = one[order], bucket[order]
+            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist()
+            yield rows(bucket=pa.array(bucket[edge[:-1]], pa.int32()), packed=pa.array([one[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary()))
+            shared = np.repeat(many > 1, many)
+            if shared.any():
+                g, text = g[shared], text[shared]
+                order = np.argsort(text, kind="stable")
+                g, text = g[order], text[order]
+                edge = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1], [True]])).tolist()
+                yield rows(h=pa.array(text[edge[:-1]]), grams=lists([g[a:b] for a, b in zip(edge, edge[1:], strict=False)], pa.int64()))
+
+    return run
+
+
+SHARED = "g long, h long, hot boolean"
+
+
+def _shared(hot: int) -> Callable:
+    """Grams that two texts or more have, from rows sorted by bucket, with the text
+    that stood for each batch; a bucket is held at a time."""
+
+    def found(packed: list[bytes]) -> pa.RecordBatch:
+        seen = np.frombuffer(b"".join(packed), SEEN)
+        seen = seen[np.lexsort((seen["h"], seen["g"]))]
+        g, h = seen["g"], seen["h"]
+        at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        size = np.diff(np.append(at, len(g)))
+        several = (h[at] != h[at + size - 1]) | (np.maximum.reduceat(seen["many"], at) > 1)
+        keep = np.repeat(several, size)
+        total = np.repeat(np.add.reduceat(seen["many"].astype(np.int64), at), size)
+        return pa.RecordBatch.from_arrays([pa.array(g[keep]), pa.array(h[keep]), pa.array(total[keep] > hot)], names=["g", "h", "hot"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield found(held)
+                    held = []
+                now = bucket
+                held.append(packed)
+        if held:
+            yield found(held)
 
     return run
 
@@ -239,30 +309,33 @@ def covered_windows(docs: DataFrame, unit: str, window: int, k: int, keep_first:
     covered windows as half-open ranges. With ``keep_first`` a window is covered if
     an equal one starts earlier, else if there is any other equal one. A null
     doc_id counts as the smallest id."""
+    small_batches(docs.sparkSession)
     docs = docs.withColumns({"doc_id": F.coalesce("doc_id", F.lit(-(2**63))), "text": F.coalesce("text", F.lit(""))}).withColumn("h", F.xxhash64("text"))
-    whole, docs = docs, docs.select("doc_id", "h", "text")
-    index = saved(docs.mapInArrow(_index(unit, window, k, keep_first), INDEX), "repeats")
+    buckets = 16 * partitions(docs.sparkSession)
+    index = saved(docs.select("doc_id", "h", "text").mapInArrow(_index(unit, window, k, keep_first, buckets), INDEX), "repeats")
+    each = index.filter("n is not null").select("doc_id", "h", "n", "los", "his")
 
     # of equal texts, the least doc_id stands for all
-    groups = index.groupBy("h", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    copies = index.select("doc_id", "h", "n").join(groups.filter("copies > 1"), ["h", "n"]).filter("n >= %d" % window)
+    groups = each.groupBy("h", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    copies = each.select("doc_id", "h", "n").join(groups.filter("copies > 1"), ["h", "n"]).filter("n >= %d" % window)
     removed = copies.filter("doc_id <> least") if keep_first else copies
 
-    # only a gram's and a text's hash are dealt out, for every run
-    run = index.select("h", F.explode("grams").alias("g"))
-    known = run.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("a"), F.max("h").alias("b"))
-    known = known.filter("a <> b").select("g", (F.col("c") > hot).alias("hot"))
-    hits = run.join(known, "g").groupBy("h").agg(F.collect_set("g").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("g"))).alias("hots"))
+    seen = index.filter("bucket is not null").select("bucket", "packed").repartition("bucket").sortWithinPartitions("bucket")
+    known = saved(seen.mapInArrow(_shared(hot), SHARED), "shared")
+    local = index.filter("grams is not null").select(F.explode("grams").alias("g"), "h")
+    often = known.filter("hot").select("g").distinct().withColumn("hot", F.lit(True))
+    hits = known.select("g", "h").unionByName(local).join(often, "g", "left")
+    hits = hits.groupBy("h").agg(F.collect_set("g").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("g"))).alias("hots"))
     hits = groups.select("h", F.col("least").alias("doc_id")).join(hits, "h")
-    context = docs.join(hits, ["doc_id", "h"]).select("doc_id", "h", "text", "shared", "hots")
+    context = docs.join(hits, ["doc_id", "h"])  # all columns, as below: one exchange of texts serves both joins
     context = context.mapInArrow(_slices(unit, window, k, keep_first, hot_band or max(1, (window - k + 1) // 10)), CONTEXT)
     context = context.repartition("g", "band").sortWithinPartitions("g", "band", "doc_id", "first")
     ranges = context.mapInArrow(resolver, RANGES)
 
-    own = index.filter(F.size("los") > 0).select("doc_id", "h", F.explode(F.arrays_zip("los", "his")).alias("r")).select("doc_id", "h", F.col("r.los").alias("lo"), F.col("r.his").alias("hi"))
+    own = each.filter(F.size("los") > 0).select("doc_id", "h", F.explode(F.arrays_zip("los", "his")).alias("r")).select("doc_id", "h", F.col("r.los").alias("lo"), F.col("r.his").alias("hi"))
     entire = removed.select("doc_id", "h", F.lit(0).alias("lo"), (F.col("n") - (window - 1)).cast("int").alias("hi"))
     found = ranges.unionByName(own).unionByName(entire).groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    return whole.join(found, ["doc_id", "h"], "left")
+    return docs.join(found, ["doc_id", "h"], "left")
 
 
 def covered_units(n: int, ranges: list[dict] | None, window: int) -> np.ndarray:
