@@ -7,8 +7,9 @@ other and order the pivots almost alike. A vector is listed under each set of
 only if they share ``shared`` pivots or more; then their cosine is verified in
 double precision.
 
-Pivots are fitted on a bounded sample (``pivots`` vectors a label of those with
-the least hash of vec_id); every vector is indexed. They are chosen for each of the
+Pivots are fitted on a bounded sample (up to 512 vectors a label, 51,200 in all or
+``pivots`` a label, those with the least hash of vec_id), spread out over it; every
+vector is indexed. They are chosen for each of the
 1000 most frequent labels, as only vectors of one label are compared; vectors
 of rarer labels are one list each.
 
@@ -51,21 +52,32 @@ def usable(column: str = "embedding"):
     return F.coalesce(fine, F.lit(False))
 
 
-def pivot_table(vectors: DataFrame, pivots: int, most_labels: int = 1000) -> dict[int, np.ndarray]:
-    """Unit vectors of each label's pivots."""
+def spread(unit: np.ndarray, pivots: int) -> np.ndarray:
+    """Farthest-first choice: each next pivot is the vector least like those chosen.
+    Pivots from one dense group would be near ties, ordered by chance."""
+    best, chosen = unit @ unit[0], [0]
+    while len(chosen) < min(pivots, len(unit)):
+        at = int(best.argmin())
+        chosen.append(at)
+        best = np.maximum(best, unit @ unit[at])
+    return unit[chosen]
+
+
+def pivot_table(vectors: DataFrame, pivots: int, sample: int = 51_200, most_labels: int = 1000) -> dict[int, np.ndarray]:
+    """Unit vectors of each label's pivots, from ``sample`` vectors in all."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("label").orderBy(F.xxhash64("node"), "node")
-    frequent = vectors.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_labels)
-    drawn = vectors.join(F.broadcast(frequent.select("label")), "label")  # most_labels rows at most
-    drawn = drawn.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= pivots).select("label", "vector", "nth").collect()
+    frequent = [r["label"] for r in vectors.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_labels).collect()]
+    each = max(pivots, min(512, sample // max(1, len(frequent))))
+    drawn = vectors.filter(F.col("label").isin(frequent)).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= each)
     out: dict[int, list] = {}
-    for row in sorted(drawn, key=lambda r: (r.label, r.nth)):
+    for row in sorted(drawn.select("label", "vector", "nth").collect(), key=lambda r: (r.label, r.nth)):
         out.setdefault(row.label, []).append(row.vector)
-    return {k: _unit(np.array(v, np.float64)) for k, v in out.items() if len({len(x) for x in v}) == 1}
+    return {k: spread(_unit(np.array(v, np.float64)), pivots) for k, v in out.items() if len({len(x) for x in v}) == 1}
 
 
-def near_duplicates(rows: DataFrame, cosine: float = 0.98, pivots: int = 48, depth: int = 5, shared: int = 3, most: int = 512) -> DataFrame:
+def near_duplicates(rows: DataFrame, cosine: float = 0.98, pivots: int = 48, depth: int = 4, shared: int = 2, most: int = 512) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, a row for each vector."""
     rows = rows.select(F.coalesce("vec_id", F.lit(NULL)).alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").alias("vector"))
     rows = rows.withColumn("fine", usable("vector") & F.col("label").isNotNull())
