@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import linked
+from .buckets import edges, tiles
 from .common import as_bytes, saved, texts
 from .components import components
 from .repeats import mixed
@@ -120,71 +120,158 @@ def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 2, hot: int = 25
     return out.select(real[0], digits.alias("fingerprint"), real[1])
 
 
-WORDS = 9  # 64-bit words of a wide fingerprint
+WORDS = 24  # 64-bit words of a wide fingerprint
+SKETCH = 4  # of them, those that stand for all where candidates are compared
+FAR = 64 * SKETCH // 4  # bits of a sketch that a candidate may differ in
+MANY = 1024  # rows of a bucket whose pairs are all listed
+_ODD = 2 * np.arange(WORDS, dtype=np.uint64) + np.uint64(1)
+_STEP = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
 
 
 def wide_fingerprint(text: bytes, size: int) -> bytes:
-    """Majority bits of :data:`WORDS` hashes derived from each shingle's hash. More
-    bits tell similarities apart that 64 can't."""
-    h = shingle_hashes(text, size)
-    out = []
-    for word in range(WORDS):
-        g = mixed(h * np.uint64(2 * word + 1) + np.uint64(word * 0x9E3779B97F4A7C15 % 2**64))
-        g = mixed(g)
-        raw = g.astype(">u8").view(np.uint8).reshape(-1, 8)
-        if len(h) < 256:
-            ones = np.unpackbits(raw, axis=1).sum(0, dtype=np.int64)
-        else:
-            ones = np.concatenate([np.bincount(raw[:, i], minlength=256) @ _BITS for i in range(8)])
-        out.append(np.packbits(2 * ones > len(h)).tobytes())
-    return b"".join(out)
-
-
-def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, width: int = 18, most: int = 512) -> DataFrame:
-    """``doc_id, component_id``: groups of texts whose shingles are alike.
-
-    For a Jaccard similarity J of shingles the bits of two fingerprints differ
-    with probability ``acos(2 J / (1 + J)) / pi``; a pair is linked if no more than
-    that share of its 576 bits differs (plus half a standard deviation, as the
-    share is an estimate). Fingerprints are split into 32 blocks of ``width`` bits;
-    pairs with an equal block are compared. Distances up to 31 always share a
-    block; at similarity 0.8, 0.85, 0.9 and 0.95 one is shared in about 83, 95, 99
-    and 100 of 100 cases. Buckets over ``most`` are compared in tiles."""
-    import math
-
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    total = 64 * WORDS
-    limit = int(share * total + 0.5 * math.sqrt(total * share * (1 - share)))
+    """Majority bits of :data:`WORDS` hashes derived from each distinct shingle's
+    hash. More bits tell similarities apart that 64 can't."""
+    h = shingle_set(text, size)
+    ones = np.zeros(64 * WORDS, np.int64)
+    for lo in range(0, len(h), 255):  # so that a count fits into a byte
+        g = mixed(mixed(h[lo : lo + 255, None] * _ODD + _STEP))
+        ones += np.add.reduce(np.unpackbits(g.astype(">u8").view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h)).tobytes()
+
+
+def jaccard(a: bytes, b: bytes, size: int) -> float:
+    x, y = shingle_set(a, size), shingle_set(b, size)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def nearest(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest with the least distances (Prim), none over :data:`FAR`."""
+    n = len(sketch)
+    best, source = np.full(n, 64 * SKETCH + 1, np.int64), np.zeros(n, np.int64)
+    left, now, a, b = np.ones(n, bool), 0, [], []
+    for _ in range(n - 1):
+        left[now] = False
+        best[now] = 64 * SKETCH + 2
+        d = np.bitwise_count(sketch ^ sketch[now]).sum(1, dtype=np.int64)
+        closer = left & (d < best)
+        best[closer], source[closer] = d[closer], now
+        now = int(best.argmin())
+        if best[now] <= FAR:
+            a.append(source[now])
+            b.append(now)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def candidates(sketch: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that may be near, for buckets that begin at ``edge``: all such pairs.
+    A bucket with over :data:`MANY` rows, or one with over 16 pairs a row, gives the
+    forest of :func:`nearest`: what it leaves out is joined by closer pairs."""
+    size = np.diff(edge)
+    bucket = np.repeat(np.arange(len(size)), size)
+    small = size[bucket] <= MANY
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, min(int(size.max(initial=0)), MANY)):
+        i = np.flatnonzero(small[:-step] & (bucket[step:] == bucket[:-step]))
+        i = i[np.bitwise_count(sketch[i] ^ sketch[i + step]).sum(1, dtype=np.int64) <= FAR]
+        a.append(i)
+        b.append(i + step)
+    a, b = np.concatenate(a), np.concatenate(b)
+    crowded = (np.bincount(bucket[a], minlength=len(size)) > 16 * size) | (size > MANY)
+    some = ~crowded[bucket[a]]
+    a, b = [a[some]], [b[some]]
+    for k in np.flatnonzero(crowded):
+        x, y = nearest(sketch[edge[k] : edge[k + 1]])
+        a.append(x + edge[k])
+        b.append(y + edge[k])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _pairs(nodes: DataFrame, most: int) -> DataFrame:
+    """``a, b``: nodes that share a 16-bit block and have near sketches."""
+    blocks = 4 * WORDS
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
+                raw = b"".join(batch.column("fp").to_pylist())
+                key = np.frombuffer(raw, ">u2").reshape(-1, blocks).astype(np.int64) + (np.arange(blocks) << 16)
+                at = np.repeat(np.arange(batch.num_rows), blocks)
+                sketch = np.frombuffer(raw, np.int64).reshape(-1, WORDS)[:, :SKETCH][at]
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column("node").take(pa.array(at)), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)], names=["key", "node", *(f"s{i}" for i in range(SKETCH))])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tiles(batches):
+            node = table.column("node").to_numpy()
+            sketch = np.stack([table.column(f"s{i}").to_numpy() for i in range(SKETCH)], 1).view(np.uint64)
+            a, b = (node[x] for x in candidates(sketch, edges(table)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    schema = "key long, node long, " + ", ".join(f"s{i} long" for i in range(SKETCH))
+    rows = nodes.select("node", "fp").mapInArrow(split, schema)
+    # how many rows a key has decides only how they are dealt out, so one in eight is counted;
+    # at least `most` rows a key bound the list of keys that is broadcast
+    most = max(most, nodes.count() * blocks // 100_000)
+    some = nodes.filter("pmod(xxhash64(node), 8) = 0").select("node", "fp").mapInArrow(split, schema)
+    hot = some.groupBy("key").agg((8 * F.count(F.lit(1))).alias("many")).filter(F.col("many") > most)
+    rows = rows.join(F.broadcast(saved(hot, "hot")), "key", "left")
+    side = F.coalesce(F.ceil(F.col("many") / most), F.lit(1)).cast("int")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), side).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), side - 1)))
+    rows = rows.withColumns({"ta": F.least("part", "other"), "tb": F.greatest("part", "other")}).drop("part", "other", "many")
+    return rows.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _groups(docs: DataFrame, size: int, similarity: float, most: int) -> DataFrame:
+    """``_id, _h, root`` for each row of ``docs``, which has ``_id`` and ``_h`` (see
+    :func:`representatives`); ``root`` is the same in a group and nowhere else."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = [wide_fingerprint(t, size) for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.binary())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), pa.array(fp, pa.binary())], names=["_id", "_h", "fp"])
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = total // width
-        weights = 1 << np.arange(width, dtype=np.int64)
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, WORDS * 8)
-            bits = np.unpackbits(raw, axis=1)[:, : blocks * width].reshape(len(raw), blocks, width)
-            key = (bits @ weights + (np.arange(blocks) << width)).ravel()
-            at = np.repeat(np.arange(len(raw)), blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), batch.column("node").take(pa.array(at)), batch.column("fp").take(pa.array(at))], names=["key", "node", "fp"])
-
-    def close(a: list[bytes], b: list[bytes]) -> np.ndarray:
-        x, y = (np.frombuffer(b"".join(v), np.uint64).reshape(-1, WORDS) for v in (a, b))
-        far = np.zeros((len(x), len(y)), np.uint16)
-        for i in range(WORDS):
-            far += np.bitwise_count(x[:, i, None] ^ y[None, :, i])
-        return far <= limit
-
-    each = saved(texts(docs).mapInArrow(sign, "doc_id long, fp binary").withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL))), "simhash")
-    nodes = each.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    rows = nodes.mapInArrow(split, "key long, node long, fp binary")
-    found = components(linked(rows, "fp", close, most))
-    roots = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    real = [F.expr(f"nullif({c}, -9223372036854775808)").alias(c) for c in ("doc_id", "component_id")]
-    return each.join(roots, "fp").select(*real)
+            x, y = as_bytes(batch.column("ta")), as_bytes(batch.column("tb"))
+            alike = pa.array([jaccard(t, u, size) >= similarity for t, u in zip(x, y, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(alike)
+
+    text = texts(docs, "_id", "_h").drop("doc_id")
+    each = saved(text.mapInArrow(sign, "_id long, _h long, fp binary"), "simhash")
+    nodes = each.groupBy("fp").agg(F.min(F.struct("_id", "_h")).alias("row")).select("fp", "row.*")
+    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    pairs = saved(_pairs(nodes, most), "pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = nodes.join(ends, "node", "left_semi").select("node", "_id", "_h")
+    text = saved(text.join(wanted, ["_id", "_h"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    both = pairs.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b")
+    found = components(both.mapInArrow(verify, "a long, b long"))
+    roots = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    return saved(each.join(roots, "fp").select("_id", "_h", "root"), "groups")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NULL)), "_h": F.xxhash64("text")})
+
+
+def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, most: int = 512) -> DataFrame:
+    """``doc_id, component_id``: groups of texts whose sets of shingles have a Jaccard
+    similarity of ``similarity`` or more, directly or through others.
+
+    Candidates agree on one of 96 blocks of 16 bits and differ in a quarter of a
+    256-bit sketch at most; each is verified on its texts. Bits of two fingerprints
+    differ with probability ``acos(2 J / (1 + J)) / pi``, so at J = 0.8 a pair is a
+    candidate in over 99.9 of 100 cases. Buckets over ``most`` are compared in tiles."""
+    rows = _groups(_marked(docs), size, similarity, most)
+    least = rows.groupBy("root").agg(F.min("_id").alias("least"))
+    real = [F.expr(f"nullif({c}, -9223372036854775808)").alias(n) for c, n in (("_id", "doc_id"), ("least", "component_id"))]
+    return rows.join(least, "root").select(*real)
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:

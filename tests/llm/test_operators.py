@@ -329,6 +329,37 @@ def test_similar_finds_near_copies_and_no_others(docs, rows):
     assert sorted(kept) == sorted(set(got.values()))
 
 
+def test_similar_finds_every_pair_from_the_threshold_on(spark):
+    dice, rows = random.Random(21), []
+    for i in range(60):
+        base = [f"w{dice.randrange(10**6)}" for _ in range(304)]
+        for k, many in enumerate((0, 6, 8)):  # words edited: similarity 1, about 0.82, about 0.76
+            t = list(base)
+            for at in dice.sample(range(5, 295, 12), many):
+                t[at] = f"x{dice.randrange(10**6)}"
+            rows.append((3 * i + k, " ".join(t)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for base in range(0, len(rows), 3):
+        sets = [set(simhash.shingle_hashes(rows[base + k][1].encode(), 5).tolist()) for k in (0, 1, 2)]
+        js = [len(sets[0] & x) / len(sets[0] | x) for x in sets[1:]]
+        assert 0.8 <= js[0] < 0.83 and 0.7 < js[1] < 0.8
+        assert got[base + 1] == got[base] and got[base + 2] == base + 2
+
+
+def test_forest_of_a_crowded_bucket_keeps_components():
+    dice = np.random.default_rng(4)
+    base = dice.integers(0, 2**63, (3, simhash.SKETCH), dtype=np.uint64)
+    rows = base[dice.integers(0, 3, 300)] ^ (np.uint64(1) << dice.integers(0, 64, (300, simhash.SKETCH), dtype=np.uint64))
+    far = np.bitwise_count(rows[:, None] ^ rows[None]).sum(2)
+    want = groups(range(300), lambda a, b: far[a, b] <= simhash.FAR)
+    a, b = simhash.candidates(rows, np.array([0, 300]))
+    assert len(a) == 297 and (far[a, b] <= simhash.FAR).all()
+    linked = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert groups(range(300), lambda x, y: (x, y) in linked or (y, x) in linked) == want
+    a, b = simhash.candidates(rows[:6], np.array([0, 4, 6]))
+    assert {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} == {(x, y) for x in range(6) for y in range(x + 1, 6) if (x < 4) == (y < 4) and far[x, y] <= simhash.FAR}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(1, 60).selectExpr("id AS a", "id - 1 AS b")
     assert {r["root"] for r in components.components(edges).collect()} == {0}
