@@ -274,15 +274,13 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, most: int =
     return rows.join(least, "root").select(*real)
 
 
-def representatives(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group of :func:`similar`: the one with
-    the least doc_id (a null one is the least). Where rows repeat that doc_id, one
-    of them stays, the one whose text has the least hash."""
-    group = similar(docs, **options)
-    first = group.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL)).alias("_id")).distinct()
-    docs = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NULL)), "_h": F.xxhash64("text")})
-    kept = docs.join(first, "_id", "left_semi")
-    again = kept.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"), F.min("_h").alias("_least")).filter("_n > 1")
-    kept = kept.join(again, "_id", "left").filter("_n is null or _h <=> _least")
+def representatives(docs: DataFrame, size: int = 5, similarity: float = 0.8, most: int = 512) -> DataFrame:
+    """``docs`` with one row of each group of :func:`similar`: the one with the
+    least doc_id (a null one is the least), then the least hash of its text."""
+    docs = _marked(docs)
+    first = _groups(docs, size, similarity, most).groupBy("root").agg(F.min(F.struct("_id", "_h")).alias("row")).select("row.*")
+    kept = docs.join(first, ["_id", "_h"], "left_semi")
+    again = kept.groupBy("_id", "_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    kept = kept.join(again, ["_id", "_h"], "left")
     twice = kept.filter("_n is not null").dropDuplicates(["_id", "_h"])
-    return kept.filter("_n is null").unionByName(twice).drop("_id", "_h", "_n", "_least")
+    return kept.filter("_n is null").unionByName(twice).drop("_id", "_h", "_n")

@@ -360,6 +360,19 @@ def test_forest_of_a_crowded_bucket_keeps_components():
     assert {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} == {(x, y) for x in range(6) for y in range(x + 1, 6) if (x < 4) == (y < 4) and far[x, y] <= simhash.FAR}
 
 
+def test_representatives_keep_a_row_of_each_group_whatever_the_ids(spark):
+    dice = random.Random(8)
+    texts = [" ".join(f"w{dice.randrange(10**6)}" for _ in range(60)) for _ in range(30)]
+    rows = [(None, t) for t in texts[:12]] + [(7, t) for t in texts[12:20]] + list(enumerate(texts[20:], 100))
+    rows += [(None, texts[0]), (7, texts[12]), (7, texts[12]), (500, texts[13]), (None, texts[21]), (None, None), (None, ""), (3, " ")]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert kept.columns == ["doc_id", "text"]
+    want = [(None, t) for t in texts[:12]] + [(7, t) for t in texts[12:20]] + [(100 + i, t) for i, t in enumerate(texts[20:]) if i != 1] + [(None, texts[21])]
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted((x for x in got if (x[1] or "").strip()), key=str) == sorted(want, key=str)
+    assert [i for i, t in got if not (t or "").strip()] == [None]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(1, 60).selectExpr("id AS a", "id - 1 AS b")
     assert {r["root"] for r in components.components(edges).collect()} == {0}
