@@ -4,7 +4,8 @@ A notice of ``n`` characters may differ from a text by ``n // 10`` edits. By the
 pigeonhole principle, one of ``edits + 1`` pieces of the notice then stands in
 the text unchanged, so an automaton over all pieces (Aho-Corasick) finds every
 candidate in one pass. Around each candidate the ``regex`` library matches the
-whole notice with bounded errors, which verifies the edits and gives the span.
+whole notice with bounded errors on each run of whole words that may be it, which
+verifies the edits. Of runs that overlap, the one with the fewest edits is a span.
 Spans are positions in the *folded* text: words in lower case (A-Z only), one
 space between them and at both ends.
 
@@ -14,6 +15,7 @@ gives none; repeated rows each get a row; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import ahocorasick
@@ -54,6 +56,15 @@ def pieces(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def gaps(folded: str, lo: int, hi: int) -> list[int]:
+    """Places of spaces from ``lo`` to ``hi``, both included."""
+    found, at = [], folded.find(" ", max(lo, 0), hi + 1)
+    while at >= 0:
+        found.append(at)
+        at = folded.find(" ", at + 1, hi + 1)
+    return found
+
+
 class Scanner:
     def __init__(self, notices: dict[str, str] = NOTICES, base: dict[str, str] = BASE):
         self.base = {f" {p} ": label for p, label in base.items()}
@@ -72,25 +83,26 @@ class Scanner:
 
     def spans(self, folded: str) -> list[tuple[str, int, int, int]]:
         """``(notice, start, end, edits)`` of each place that matches."""
-        near: dict[str, list[list[int]]] = {}
+        tried: dict[str, dict[tuple[int, int], int]] = {}
         for last, (length, where) in self.seeds.iter(folded):
             for notice, at in where:
                 k = edits_allowed(notice)
                 start = last + 1 - length - at
-                lo, hi = max(0, start - k), min(len(folded), start + len(notice) + k)
-                areas = near.setdefault(notice, [])
-                if areas and lo <= areas[-1][1]:
-                    areas[-1][1] = max(areas[-1][1], hi)
-                    areas[-1][0] = min(areas[-1][0], lo)
-                else:
-                    areas.append([lo, hi])
+                done = tried.setdefault(notice, {})
+                # whole words only, or "commit license" would be a notice
+                for a in gaps(folded, start - k - 1, start + k - 1):
+                    for b in gaps(folded, a + 1 + len(notice) - k, a + 1 + len(notice) + k):
+                        if (a + 1, b) not in done:
+                            m = self.fuzzy[notice].fullmatch(folded, a + 1, b)
+                            done[a + 1, b] = sum(m.fuzzy_counts) if m else k + 1
         found = []
-        for notice, areas in near.items():
-            for lo, hi in areas:
-                for m in self.fuzzy[notice].finditer(folded, lo, hi):
-                    # whole words only, or "commit license" would be a notice
-                    if (m.start() == 0 or folded[m.start() - 1] == " " or folded[m.start()] == " ") and (m.end() == len(folded) or folded[m.end()] == " " or folded[m.end() - 1] == " "):
-                        found.append((notice, m.start(), m.end(), sum(m.fuzzy_counts)))
+        for notice, done in tried.items():
+            own: list[tuple[int, int, int]] = []
+            for edits, a, b in sorted((e, a, b) for (a, b), e in done.items() if e <= edits_allowed(notice)):
+                i = bisect(own, (a,))
+                if (not i or own[i - 1][1] <= a) and (i == len(own) or b <= own[i][0]):
+                    own.insert(i, (a, b, edits))
+            found += [(notice, *x) for x in own]
         # where notices overlap, the nearest one is meant ("version 3" isn't "version 2" with an edit)
         return [x for x in found if not any(y[3] < x[3] and y[1] < x[2] and x[1] < y[2] for y in found)]
 

@@ -101,6 +101,52 @@ def test_seeds_miss_no_fuzzy_match():
                 assert scanner.spans(folded), (notice, folded)
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("under the mit licenses", [("mit", 1)]),
+        ("gnu lesser general public licenses", [("lgpl", 1)]),
+        ("sublicensed under the apache license", [("apache", 3)]),
+        ("xgnu lesser general public licenses", [("lgpl", 2)]),
+        ("undr the mit license under the mit license", [("mit", 1), ("mit", 0)]),
+        ("under the mit license undr the mit license under the mit licenses", [("mit", 0), ("mit", 1), ("mit", 1)]),
+        ("commit license under the summit license", []),
+        ("resublicensed under the apache licenses", []),
+    ],
+)
+def test_notices_edited_at_their_ends_and_close_together(text, want):
+    got = sorted(license_scan.Scanner().spans(f" {text} "), key=lambda x: x[1])
+    assert [(license_scan.NOTICES[n], e) for n, _, _, e in got] == want
+    for _, a, b, _ in got:
+        assert f" {text} "[a - 1] == " " == f" {text} "[b]
+
+
+def test_spans_are_the_nearest_runs_of_words():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    dice, scanner = random.Random(6), license_scan.Scanner()
+    for notice in license_scan.NOTICES:
+        k = license_scan.edits_allowed(notice)
+        for _ in range(15):
+            t = list(notice)
+            for _ in range(dice.randint(0, k + 1)):
+                at = dice.randrange(len(t) + 1)
+                t[at : at + dice.randint(0, 1)] = dice.choice(["", "q", "s"])
+            words = f"aa {''.join(t)} bb".split()
+            folded = f" {' '.join(words)} "
+            ends = [i for i, c in enumerate(folded) if c == " "]
+            best = min(distance(notice, folded[a + 1 : b]) for a in ends for b in ends if a < b)
+            got = [e for n, _, _, e in scanner.spans(folded) if n == notice]
+            nearer = [e for n, _, _, e in scanner.spans(folded) if n != notice and e < best]
+            assert nearer or got == ([best] if best <= k else []), (notice, folded)
+
+
 # -- 2 ------------------------------------------------------------------------
 
 
