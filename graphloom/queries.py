@@ -73,6 +73,7 @@ ask("join_semi", "customer orders", "FOR c IN customer FILTER LENGTH((FOR o IN o
 ask("join_anti", "customer orders", "FOR c IN customer FILTER LENGTH((FOR o IN orders FILTER o.o_custkey == c.c_custkey RETURN 1)) == 0 RETURN c.c_custkey", "SELECT c_custkey AS value FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 ask("join_nested_array", "region nation", "FOR r IN region LET names = (FOR n IN nation FILTER n.n_regionkey == r.r_regionkey SORT n.n_name RETURN n.n_name) RETURN {r: r.r_name, names, one: FIRST(names)}", "SELECT r_name AS r, list(n_name ORDER BY n_name) AS names, min(n_name) AS one FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
 ask("subquery_top_k", "customer orders", "FOR c IN customer FILTER c.c_custkey <= 200 LET top = (FOR o IN orders FILTER o.o_custkey == c.c_custkey SORT o.o_totalprice DESC, o.o_orderkey LIMIT 2 RETURN o.o_orderkey) RETURN {c: c.c_custkey, top}", "SELECT c_custkey AS c, coalesce((SELECT list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) FROM (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)), []) AS top FROM customer WHERE c_custkey <= 200")
+ask("subquery_top_k_all", "customer orders", "FOR c IN customer LET top = (FOR o IN orders FILTER o.o_custkey == c.c_custkey SORT o.o_totalprice DESC, o.o_orderkey LIMIT 2 RETURN o.o_orderkey) RETURN {c: c.c_custkey, top}", "SELECT c_custkey AS c, coalesce(list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) FILTER (WHERE n <= 2), []) AS top FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) ON o_custkey = c_custkey AND n <= 2 GROUP BY 1")
 ask("subquery_uncorrelated", "nation orders", "LET n = LENGTH((FOR o IN orders RETURN 1)) FOR x IN nation RETURN {name: x.n_name, n}", "SELECT n_name AS name, (SELECT count(*) FROM orders) AS n FROM nation")
 ask("subquery_nested", "region nation customer", "FOR r IN region LET per = (FOR n IN nation FILTER n.n_regionkey == r.r_regionkey SORT n.n_nationkey RETURN LENGTH((FOR c IN customer FILTER c.c_nationkey == n.n_nationkey RETURN 1))) RETURN {r: r.r_name, per}", "SELECT r_name AS r, list(k ORDER BY n_nationkey) AS per FROM region JOIN (SELECT n_nationkey, n_regionkey, count(c_custkey) AS k FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2) ON n_regionkey = r_regionkey GROUP BY 1")
 ask("array_for", "documents", 'FOR d IN documents FOR w IN SPLIT(d.text, " ") FILTER LENGTH(w) > 20 COLLECT word = w WITH COUNT INTO n RETURN {word, n}', "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) WHERE length(word) > 20 GROUP BY 1")

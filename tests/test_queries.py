@@ -291,3 +291,13 @@ def test_edge_upsert_keeps_keys(engine):
     assert engine.document("cites", "c1")["confidence"] == 0.2
     engine.upsert_edge("cites", "papers/p4", "papers/p2", "cites")
     assert engine.catalog["cites"].df.filter(F.col("_from") == "papers/p4").count() == 1
+
+
+def test_top_k_of_every_customer(spark, tmp_path):
+    from graphloom.queries import QUERIES
+
+    orders = [(i, i % 301, float(i * 37 % 101)) for i in range(900) if i % 301 != 250]
+    spark.range(301).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r["c"]: list(r["top"]) for r in QUERIES["subquery_top_k_all"](spark, str(tmp_path)).collect()}
+    assert got == {c: [k for _, k in sorted((-p, k) for k, o, p in orders if o == c)[:2]] for c in range(301)}
