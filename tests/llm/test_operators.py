@@ -591,3 +591,16 @@ def test_pivot_recall(spark, folder):
     got = {r["vec_id"]: r["n_links"] for r in pivots.near_duplicates(df).collect()}
     assert sum(got.values()) >= 0.9 * close.sum()
     assert all(got[i] <= c for (i, *_), c in zip(rows, close.sum(1).tolist(), strict=True))
+
+
+def test_long_texts_are_learned_from_as_a_whole(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(quality, "fit", lambda texts, labels, **_: given.extend(texts))
+    short, ids = "é" * 1000, [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    long = "".join(f"{i:07d} " for i in range(1000))
+    docs = spark.createDataFrame([(i, short if i == ids[0] else long) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
+    quality.train(docs, labels, longest=1600)
+    assert short.encode() in given and all(len(t) == 1600 for t in given if t != short.encode())
+    places = [int(w) for t in given if t != short.encode() for at in range(0, 1600, 100) for w in t[at : at + 100].decode().split()[1:-1]]
+    assert all(any(lo <= p < lo + 100 for p in places) for lo in range(0, 1000, 100))
