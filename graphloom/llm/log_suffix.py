@@ -2,10 +2,11 @@
 
 Every byte is removed that lies in a ``length``-byte string which also starts
 anywhere else. :mod:`repeats` brings suffixes that can match to one task, in
-groups; there they enter a :class:`LogarithmicIndex` batch by batch: each batch
-gets a suffix array, which is merge-scanned against the existing levels, and
-levels of equal size class are merged. Suffixes of finished groups leave the
-index, so it never holds more than one group.
+groups. A group that lies inside an Arrow batch is settled by one sort of hashes.
+One that goes on in the next batch enters a :class:`LogarithmicIndex` batch by
+batch: each batch gets a suffix array, which is looked up in the existing levels
+by bisection, and levels of equal size class are merged. Suffixes of finished
+groups leave the index, so it never holds more than one group.
 
 The suffix arrays order suffixes by the 64-bit hash of their first ``length``
 bytes rather than by the bytes themselves: equal strings are still neighbours,
