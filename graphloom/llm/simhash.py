@@ -25,7 +25,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import edges, tiles
 from .common import as_bytes, saved, texts
 from .components import components
 from .repeats import mixed
@@ -122,8 +121,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 2, hot: int = 25
 
 WORDS = 24  # 64-bit words of a wide fingerprint
 SKETCH = 4  # of them, those that stand for all where candidates are compared
-FAR = 64 * SKETCH // 4  # bits of a sketch that a candidate may differ in
-MANY = 1024  # rows of a bucket whose pairs are all listed
+MANY = 4096  # rows of a bucket that are compared at once
+CHANCE = 256  # rows that may share a key by chance before keys get wider
 _ODD = 2 * np.arange(WORDS, dtype=np.uint64) + np.uint64(1)
 _STEP = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,85 +148,227 @@ def jaccard(a: bytes, b: bytes, size: int) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def nearest(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest with the least distances (Prim), none over :data:`FAR`."""
-    n = len(sketch)
-    best, source = np.full(n, 64 * SKETCH + 1, np.int64), np.zeros(n, np.int64)
-    left, now, a, b = np.ones(n, bool), 0, [], []
-    for _ in range(n - 1):
-        left[now] = False
-        best[now] = 64 * SKETCH + 2
-        d = np.bitwise_count(sketch ^ sketch[now]).sum(1, dtype=np.int64)
-        closer = left & (d < best)
-        best[closer], source[closer] = d[closer], now
-        now = int(best.argmin())
-        if best[now] <= FAR:
-            a.append(source[now])
-            b.append(now)
-    return np.array(a, np.int64), np.array(b, np.int64)
-
-
-def candidates(sketch: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that may be near, for buckets that begin at ``edge``: all such pairs.
-    A bucket with over :data:`MANY` rows, or one with over 16 pairs a row, gives the
-    forest of :func:`nearest`: what it leaves out is joined by closer pairs."""
-    size = np.diff(edge)
-    bucket = np.repeat(np.arange(len(size)), size)
-    small = size[bucket] <= MANY
+def agreement(similarity: float) -> float:
+    """Chance that a bit of two fingerprints agrees, at a Jaccard similarity."""
+    return 1 - float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+
+
+def block_bits(nodes: int, similarity: float = 0.8, lost: float = 0.001) -> np.ndarray:
+    """Bits of each key, a row a key. Keys widen with the number of fingerprints, so
+    that about :data:`CHANCE` at most share one by chance, and as many are taken as
+    leave ``lost`` of the pairs at ``similarity`` without a common one. The first
+    keys are the blocks of the fingerprint; more come from its bits dealt anew."""
+    width = 16
+    while nodes >> width > CHANCE:
+        width += 1
+    share = agreement(similarity) ** width
+    many = -(-int(np.ceil(np.log(lost) / np.log1p(-share))) // 8) * 8
+    bits, dice = np.arange(64 * WORDS), np.random.default_rng(5)
+    each = len(bits) // width
+    rounds = [bits] + [dice.permutation(bits) for _ in range(-(-many // each) - 1)]
+    return np.concatenate([r[: each * width].reshape(each, width) for r in rounds])[:many]
+
+
+def far_bits(similarity: float) -> int:
+    """Bits of a sketch that a candidate may differ in: 4.4 standard deviations over
+    what pairs at a similarity differ in."""
+    p, n = 1 - agreement(similarity), 64 * SKETCH
+    return int(n * p + 4.4 * np.sqrt(n * p * (1 - p)))
+
+
+def far_apart(sketch: np.ndarray, i, j) -> np.ndarray:
+    return np.bitwise_count(sketch[i] ^ sketch[j]).sum(-1, dtype=np.int64)
+
+
+def leaders(sketch: np.ndarray, order: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row linked to the first row, in ``order``, that leads and is near it. A
+    row that no leader is near leads itself."""
+    left, a, b = order, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(left) > 1:
+        near = far_apart(sketch, left[1:], left[0]) <= far
+        b.append(left[1:][near])
+        a.append(np.full(len(b[-1]), left[0]))
+        left = left[1:][~near]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def all_pairs(sketch: np.ndarray, edge: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Near rows of one bucket, for small buckets that begin at ``edge``."""
+    bucket = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for step in range(1, min(int(size.max(initial=0)), MANY)):
-        i = np.flatnonzero(small[:-step] & (bucket[step:] == bucket[:-step]))
-        i = i[np.bitwise_count(sketch[i] ^ sketch[i + step]).sum(1, dtype=np.int64) <= FAR]
+    for step in range(1, int(np.diff(edge).max(initial=0))):
+        i = np.flatnonzero(bucket[step:] == bucket[:-step])
+        i = i[far_apart(sketch, i, i + step) <= far]
         a.append(i)
         b.append(i + step)
-    a, b = np.concatenate(a), np.concatenate(b)
-    crowded = (np.bincount(bucket[a], minlength=len(size)) > 16 * size) | (size > MANY)
-    some = ~crowded[bucket[a]]
-    a, b = [a[some]], [b[some]]
-    for k in np.flatnonzero(crowded):
-        x, y = nearest(sketch[edge[k] : edge[k + 1]])
-        a.append(x + edge[k])
-        b.append(y + edge[k])
     return np.concatenate(a), np.concatenate(b)
 
 
-def _pairs(nodes: DataFrame, most: int) -> DataFrame:
-    """``a, b``: nodes that share a 16-bit block and have near sketches."""
-    blocks = 4 * WORDS
+def few_pairs(sketch: np.ndarray, far: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Near rows of one bucket, unless there are over ``most`` such pairs."""
+    a, b, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for i in range(len(sketch) - 1):
+        at = np.flatnonzero(far_apart(sketch, slice(i + 1, None), i) <= far)
+        if many := many + len(at):
+            if many > most:
+                return None
+            a.append(np.full(len(at), i))
+            b.append(at + i + 1)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def nearest_of_groups(sketch: np.ndarray, root: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each two groups that have near rows, the two nearest."""
+    found = [[np.zeros(0, np.int64)] for _ in range(5)]
+    for i in range(len(root) - 1):
+        d = far_apart(sketch, slice(i + 1, None), i)
+        at = np.flatnonzero((d <= far) & (root[i + 1 :] != root[i]))
+        other = root[i + 1 + at]
+        at = at[np.lexsort((d[at], other))]
+        other = root[i + 1 + at]
+        at = at[np.concatenate([[True], other[1:] != other[:-1]])[: len(at)]]  # the nearest of each group
+        other = root[i + 1 + at]
+        for column, value in zip(found, (np.minimum(other, root[i]), np.maximum(other, root[i]), d[at], np.full(len(at), i), i + 1 + at), strict=True):
+            column.append(value)
+    lo, hi, d, a, b = map(np.concatenate, found)
+    order = np.lexsort((d, hi, lo))
+    lo, hi, a, b = lo[order], hi[order], a[order], b[order]
+    first = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])[: len(lo)]
+    return a[first], b[first]
+
+
+def buckets(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], most: int | None) -> Iterator[tuple[pa.Table, np.ndarray, bool]]:
+    """Tables of whole buckets, and where each begins and the last ends, from rows
+    sorted by ``names``. A bucket of over ``most`` rows comes in parts, each a table
+    of its own that isn't called whole."""
+
+    def bounds(table: pa.Table) -> np.ndarray:
+        change = np.zeros(table.num_rows - 1, bool)
+        for name in names:
+            column = table.column(name).to_numpy()
+            change |= column[1:] != column[:-1]
+        return np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]])
+
+    held, broken = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        edge = bounds(held)
+        if broken and len(edge) > 2:  # the end of a bucket that began in parts
+            yield held.slice(0, edge[1]), edge[:2], False
+            held, broken, edge = held.slice(edge[1]), False, edge[1:] - edge[1]
+        if len(edge) > 2:
+            yield held.slice(0, edge[-2]), edge[:-1], True
+            held = held.slice(edge[-2])
+        while most and held.num_rows > most:
+            yield held.slice(0, most), np.array([0, most]), False
+            held, broken = held.slice(most), True
+    if held is not None and held.num_rows:
+        yield held, bounds(held), not broken
+
+
+_SKETCH = tuple(f"s{i}" for i in range(SKETCH))
+
+
+def _sketches(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy() for c in _SKETCH], 1).view(np.uint64)
+
+
+def _keyed(nodes: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``key, node, s0, ...``: a row for each key of each node."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many, width = bits.shape
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                raw = b"".join(batch.column("fp").to_pylist())
-                key = np.frombuffer(raw, ">u2").reshape(-1, blocks).astype(np.int64) + (np.arange(blocks) << 16)
-                at = np.repeat(np.arange(batch.num_rows), blocks)
-                sketch = np.frombuffer(raw, np.int64).reshape(-1, WORDS)[:, :SKETCH][at]
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column("node").take(pa.array(at)), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)], names=["key", "node", *(f"s{i}" for i in range(SKETCH))])
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                raw = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                own = np.zeros((batch.num_rows, many, 64), np.uint8)
+                own[:, :, 64 - width :] = np.unpackbits(raw, axis=1)[:, bits]
+                key = np.packbits(own, axis=2).view(">u8")[:, :, 0].astype(np.int64) + (np.arange(many) << width)
+                at = np.repeat(np.arange(batch.num_rows), many)
+                sketch = raw.view(np.int64).reshape(-1, WORDS)[:, :SKETCH][at]
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column("node").take(pa.array(at)), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)], names=["key", "node", *_SKETCH])
+
+    return nodes.select("node", "fp").mapInArrow(split, "key long, node long, " + ", ".join(f"{c} long" for c in _SKETCH))
+
+
+def _candidates(nodes: DataFrame, bits: np.ndarray, count: int, far: int, many: int) -> DataFrame:
+    """``a, b`` of the first round, and ``key`` of buckets that need another.
+
+    A bucket with at most 16 near pairs a row gives them all. Others give a link of
+    each row to a leader, and their keys: what isn't linked by those is looked for
+    again, with the groups found so far."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in tiles(batches):
-            node = table.column("node").to_numpy()
-            sketch = np.stack([table.column(f"s{i}").to_numpy() for i in range(SKETCH)], 1).view(np.uint64)
-            a, b = (node[x] for x in candidates(sketch, edges(table)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    schema = "key long, node long, " + ", ".join(f"s{i} long" for i in range(SKETCH))
-    rows = nodes.select("node", "fp").mapInArrow(split, schema)
-    # how many rows a key has decides only how they are dealt out, so one in eight is counted;
-    # at least `most` rows a key bound the list of keys that is broadcast
-    most = max(most, nodes.count() * blocks // 100_000)
-    some = nodes.filter("pmod(xxhash64(node), 8) = 0").select("node", "fp").mapInArrow(split, schema)
-    hot = some.groupBy("key").agg((8 * F.count(F.lit(1))).alias("many")).filter(F.col("many") > most)
+        for table, edge, whole in buckets(batches, ("key", "part"), many):
+            key, node, sketch = table.column("key").to_numpy(), table.column("node").to_numpy(), _sketches(table)
+            size, parts = np.diff(edge), table.column("parts").to_numpy()[edge[:-1]]
+            again = (parts > 1) | (not whole)
+            rows = np.flatnonzero(np.repeat(size <= 64, size))
+            x, y = all_pairs(sketch[rows], np.concatenate([[0], np.cumsum(size[size <= 64])]), far)
+            a, b = [rows[x]], [rows[y]]
+            for k in np.flatnonzero(size > 64).tolist():
+                own = slice(int(edge[k]), int(edge[k + 1]))
+                pairs = few_pairs(sketch[own], far, 16 * int(size[k]))
+                if pairs is None:
+                    pairs = leaders(sketch[own], np.argsort(node[own], kind="stable"), far)
+                    again[k] = True
+                a.append(pairs[0] + own.start)
+                b.append(pairs[1] + own.start)
+            x, y = node[np.concatenate(a)], node[np.concatenate(b)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64())], names=["a", "b", "key"])
+            if again.any():
+                keys = pa.array(np.unique(key[edge[:-1][again]]))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64()), keys], names=["a", "b", "key"])
+
+    work = _dealt(_keyed(nodes, bits), _keyed(nodes.filter("pmod(xxhash64(node), 8) = 0"), bits), count * len(bits), 8, many)
+    return work.mapInArrow(compare, "a long, b long, key long").distinct()
+
+
+def _dealt(rows: DataFrame, some: DataFrame, total: int, times: int, many: int) -> DataFrame:
+    """``rows`` in order of ``key`` and ``part``; hot keys in ``parts`` parts, for which
+    one row in ``times`` is counted (``some``). A list of at most 100,000 keys is sent
+    to all tasks."""
+    most = max(1, many // 2, total // 100_000)
+    hot = some.groupBy("key").agg((times * F.count(F.lit(1))).alias("many")).filter(F.col("many") > most)
     rows = rows.join(F.broadcast(saved(hot, "hot")), "key", "left")
-    side = F.coalesce(F.ceil(F.col("many") / most), F.lit(1)).cast("int")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), side).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), side - 1)))
-    rows = rows.withColumns({"ta": F.least("part", "other"), "tb": F.greatest("part", "other")}).drop("part", "other", "many")
-    return rows.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
+    rows = rows.withColumn("parts", F.coalesce(F.ceil(F.col("many") / most), F.lit(1)).cast("int")).drop("many")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part")
 
 
-def _groups(docs: DataFrame, size: int, similarity: float, most: int) -> DataFrame:
+def _again(nodes: DataFrame, bits: np.ndarray, keys: DataFrame, roots: DataFrame, far: int, many: int) -> DataFrame:
+    """``a, b`` of buckets that hold several groups still: of each two groups with
+    near rows, the two nearest. Where a bucket is too large to be compared at once,
+    the row with the least node stands for its group there."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edge, _ in buckets(batches, ("key", "ta", "tb"), None):
+            node, root, sketch = table.column("node").to_numpy(), table.column("root").to_numpy(), _sketches(table)
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                a, b = (node[lo:hi][x] for x in nearest_of_groups(sketch[lo:hi], root[lo:hi], far))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    rows = _keyed(nodes, bits).join(keys, "key").join(roots, "node", "left")
+    rows = saved(rows.withColumn("root", F.coalesce("root", "node")), "open")
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    rows = rows.join(several.select("key", "many"), "key")
+    large = rows.filter(F.col("many") > many).groupBy("key", "root").agg(F.min(F.struct("node", *_SKETCH)).alias("row")).select("key", "root", "row.*")
+    # groups of one bucket that stay too many for one task are compared in tiles, each two parts in a task of its own
+    side = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / max(1, many // 4)).cast("int").alias("side"))
+    large = large.join(side, "key").withColumn("part", F.pmod(F.xxhash64("node"), "side").cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
+    large = large.withColumns({"ta": F.least("part", "other"), "tb": F.greatest("part", "other")})
+    small = rows.filter(F.col("many") <= many).withColumns({"ta": F.lit(0), "tb": F.lit(0)})
+    columns = ["key", "ta", "tb", "node", "root", *_SKETCH]
+    work = small.select(*columns).unionByName(large.select(*columns))
+    return work.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _groups(docs: DataFrame, size: int, similarity: float, many: int) -> DataFrame:
     """``_id, _h, root`` for each row of ``docs``, which has ``_id`` and ``_h`` (see
     :func:`representatives`); ``root`` is the same in a group and nowhere else."""
 
@@ -246,13 +387,26 @@ def _groups(docs: DataFrame, size: int, similarity: float, most: int) -> DataFra
     each = saved(text.mapInArrow(sign, "_id long, _h long, fp binary"), "simhash")
     nodes = each.groupBy("fp").agg(F.min(F.struct("_id", "_h")).alias("row")).select("fp", "row.*")
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    pairs = saved(_pairs(nodes, most), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(ends, "node", "left_semi").select("node", "_id", "_h")
-    text = saved(text.join(wanted, ["_id", "_h"]).dropDuplicates(["node"]).select("node", "text"), "texts")
-    both = pairs.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b")
-    found = components(both.mapInArrow(verify, "a long, b long"))
-    roots = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    count = nodes.count()
+    bits, far = block_bits(count, similarity), far_bits(similarity)
+    found = saved(_candidates(nodes, bits, count, far, many), "pairs")
+    open_, pairs = found.filter("key is not null").select("key"), found.filter("key is null").select("a", "b")
+    some_open = not open_.isEmpty()
+    links = roots = None
+    while True:
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = nodes.join(ends, "node", "left_semi").select("node", "_id", "_h")
+        there = saved(text.join(wanted, ["_id", "_h"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+        both = pairs.join(there.toDF("a", "ta"), "a").join(there.toDF("b", "tb"), "b")
+        new = saved(both.mapInArrow(verify, "a long, b long"), "links")
+        if links is not None and new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        roots = components(links)
+        if not some_open:
+            break
+        pairs = saved(_again(nodes, bits, open_, roots, far, many), "pairs")
+    roots = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
     return saved(each.join(roots, "fp").select("_id", "_h", "root"), "groups")
 
 
@@ -260,25 +414,28 @@ def _marked(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NULL)), "_h": F.xxhash64("text")})
 
 
-def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, most: int = 512) -> DataFrame:
+def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, many: int = MANY) -> DataFrame:
     """``doc_id, component_id``: groups of texts whose sets of shingles have a Jaccard
     similarity of ``similarity`` or more, directly or through others.
 
-    Candidates agree on one of 96 blocks of 16 bits and differ in a quarter of a
-    256-bit sketch at most; each is verified on its texts. Bits of two fingerprints
-    differ with probability ``acos(2 J / (1 + J)) / pi``, so at J = 0.8 a pair is a
-    candidate in over 99.9 of 100 cases. Buckets over ``most`` are compared in tiles."""
-    rows = _groups(_marked(docs), size, similarity, most)
+    Candidates agree on one key of :func:`block_bits` (up to 17 million fingerprints, 96
+    blocks of 16 bits) and differ in :func:`far_bits` of a 256-bit sketch at most; each
+    is verified on its texts. Bits of two fingerprints differ with probability
+    ``acos(2 J / (1 + J)) / pi``, so at J = 0.8 a pair is a candidate in over 99.8 of
+    100 cases. In buckets with many near pairs, rows are linked to leaders first;
+    groups that are near each other there are then tried by their nearest rows,
+    until no more are joined."""
+    rows = _groups(_marked(docs), size, similarity, many)
     least = rows.groupBy("root").agg(F.min("_id").alias("least"))
     real = [F.expr(f"nullif({c}, -9223372036854775808)").alias(n) for c, n in (("_id", "doc_id"), ("least", "component_id"))]
     return rows.join(least, "root").select(*real)
 
 
-def representatives(docs: DataFrame, size: int = 5, similarity: float = 0.8, most: int = 512) -> DataFrame:
+def representatives(docs: DataFrame, size: int = 5, similarity: float = 0.8, many: int = MANY) -> DataFrame:
     """``docs`` with one row of each group of :func:`similar`: the one with the
     least doc_id (a null one is the least), then the least hash of its text."""
     docs = _marked(docs)
-    first = _groups(docs, size, similarity, most).groupBy("root").agg(F.min(F.struct("_id", "_h")).alias("row")).select("row.*")
+    first = _groups(docs, size, similarity, many).groupBy("root").agg(F.min(F.struct("_id", "_h")).alias("row")).select("row.*")
     kept = docs.join(first, ["_id", "_h"], "left_semi")
     again = kept.groupBy("_id", "_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     kept = kept.join(again, ["_id", "_h"], "left")

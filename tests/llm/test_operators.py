@@ -369,8 +369,8 @@ def test_similar_finds_near_copies_and_no_others(docs, rows):
                     assert got[a] == got[b], (a, b, j)
                 if j <= 0.5:
                     assert got[a] != got[b], (a, b, j)
-    tiled = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs, most=2).collect()}
-    assert tiled == got
+    for many in (4,):  # buckets in parts and in tiles
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar(docs, many=many).collect()} == got
     kept = [r["doc_id"] for r in simhash.representatives(docs).collect()]
     assert sorted(kept) == sorted(set(got.values()))
 
@@ -392,18 +392,57 @@ def test_similar_finds_every_pair_from_the_threshold_on(spark):
         assert got[base + 1] == got[base] and got[base + 2] == base + 2
 
 
-def test_forest_of_a_crowded_bucket_keeps_components():
+def test_pairs_leaders_and_nearest_rows_of_a_bucket():
     dice = np.random.default_rng(4)
     base = dice.integers(0, 2**63, (3, simhash.SKETCH), dtype=np.uint64)
     rows = base[dice.integers(0, 3, 300)] ^ (np.uint64(1) << dice.integers(0, 64, (300, simhash.SKETCH), dtype=np.uint64))
+    limit = simhash.far_bits(0.8)
+    assert limit == 64
     far = np.bitwise_count(rows[:, None] ^ rows[None]).sum(2)
-    want = groups(range(300), lambda a, b: far[a, b] <= simhash.FAR)
-    a, b = simhash.candidates(rows, np.array([0, 300]))
-    assert len(a) == 297 and (far[a, b] <= simhash.FAR).all()
-    linked = set(zip(a.tolist(), b.tolist(), strict=True))
-    assert groups(range(300), lambda x, y: (x, y) in linked or (y, x) in linked) == want
-    a, b = simhash.candidates(rows[:6], np.array([0, 4, 6]))
-    assert {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} == {(x, y) for x in range(6) for y in range(x + 1, 6) if (x < 4) == (y < 4) and far[x, y] <= simhash.FAR}
+    near = {(x, y) for x in range(300) for y in range(x + 1, 300) if far[x, y] <= limit}
+    want = groups(range(300), lambda a, b: far[a, b] <= limit)
+
+    def same(found):
+        return {tuple(sorted(x)) for x in zip(*(c.tolist() for c in found), strict=True)}
+
+    assert same(simhash.few_pairs(rows, limit, len(near))) == near and simhash.few_pairs(rows, limit, len(near) - 1) is None
+    assert same(simhash.all_pairs(rows, np.array([0, 4, 6, 300]), limit)) == {(x, y) for x, y in near if (x < 4) == (y < 4) and (x < 6) == (y < 6)}
+    for order in (np.arange(300), dice.permutation(300)):
+        linked = same(simhash.leaders(rows, order, limit))
+        assert len(linked) == 297 and linked <= near
+        assert groups(range(300), lambda x, y: (min(x, y), max(x, y)) in linked) == want
+    root = np.arange(300) // 3
+    got = same(simhash.nearest_of_groups(rows, root, limit))
+    best = {}
+    for x, y in near:
+        if root[x] != root[y]:
+            pair = (min(root[x], root[y]), max(root[x], root[y]))
+            best[pair] = min(best.get(pair, 999), far[x, y])
+    assert len(got) == len(best) and all(far[x, y] == best[min(root[x], root[y]), max(root[x], root[y])] for x, y in got)
+
+
+def test_keys_widen_with_the_number_of_texts():
+    small = simhash.block_bits(1000)
+    assert small.shape == (96, 16) and sorted(small.ravel().tolist()) == list(range(1536))
+    large = simhash.block_bits(1 << 32)
+    assert large.shape[1] == 24 and all(len(set(x)) == 24 for x in large.tolist())
+    for bits in (small, large):
+        assert (1 - simhash.agreement(0.8) ** bits.shape[1]) ** len(bits) <= 0.001
+
+
+def test_a_large_group_of_near_copies_is_found_whole(spark):
+    dice, rows = random.Random(3), []
+    base = [f"w{dice.randrange(10**6)}" for _ in range(400)]
+    for i in range(400):  # pairs are about 0.8 alike: some links are there and some aren't
+        t = list(base)
+        for at in dice.sample(range(5, 395, 12), 4 + i % 3):
+            t[at] = f"x{dice.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    want = groups(range(400), lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for many in (100, 4096):
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar(df, many=many).collect()} == want
 
 
 def test_representatives_keep_a_row_of_each_group_whatever_the_ids(spark):
