@@ -59,6 +59,11 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
+def as_text(kept: Column) -> Column:
+    """A sketch as a string: 16 lower-case hex digits for each hash, in order."""
+    return F.array_join(F.transform(kept, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+
+
 def fingerprints(docs: DataFrame, size: int = 5, fraction: int = FRACTION) -> DataFrame:
     """``doc_id, fingerprint`` of each document."""
     return texts(docs).select("doc_id", sketch(F.col("text"), size, fraction).alias("fingerprint"))
@@ -106,8 +111,8 @@ def compare_edited(docs: DataFrame) -> DataFrame:
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        "fingerprint",
-        "edited_fingerprint",
+        as_text(F.col("fingerprint")).alias("fingerprint"),
+        as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
