@@ -7,9 +7,10 @@ taken in overlapping chunks that cover the text; the mean and the greatest over
 all chunks are combined into one probability. As a filter is a sum of one weight
 for each symbol at each place, responses are sums of table rows.
 
-Training takes a bounded sample: the ``sample`` labelled documents with the least
-hash of doc_id, and of each at most ``crop`` bytes from a random place an epoch.
-Scoring takes every text whole. Only the text is an input.
+Training takes a bounded sample of labelled rows: the ``sample`` documents with the
+least hash of doc_id (of rows with one doc_id, the text with the least hash), as far
+as their texts come to ``sample_bytes`` together. Texts are whole there, as they are
+in scoring. Only the text is an input.
 
 Null text is empty; its score, and that of texts under ``WIDTH`` bytes, comes
 from the text padded with zero bytes. If no labelled document can be used, all
@@ -26,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import as_bytes, small_batches, texts
+from .common import as_bytes, saved, small_batches, texts
 
 WIDTH, FILTERS = 5, 8
 BLOCK, STRIDE, CHUNK = 64, 3, 4  # a chunk is 4 blocks of 64 bytes, and begins 3 blocks after the last
 BACK = 24
+SLAB = 1 << 14  # places whose responses are held at once
 
 
 def symbols(text: bytes) -> np.ndarray:
@@ -67,8 +69,8 @@ class Network:
     def blocks(self, s: np.ndarray) -> np.ndarray:
         """Greatest response of each filter in each block, the network's hot loop."""
         found = []
-        for at in range(0, max(1, len(s) - WIDTH + 1), 1 << 14):
-            z = self.responses(s[at : at + (1 << 14) + WIDTH - 1])
+        for at in range(0, max(1, len(s) - WIDTH + 1), SLAB):
+            z = self.responses(s[at : at + SLAB + WIDTH - 1])
             if rest := -len(z) % BLOCK:
                 z = np.concatenate([z, np.full((rest, FILTERS), -np.inf, np.float32)])
             z, width = z.reshape(-1, BLOCK, FILTERS), BLOCK
@@ -78,6 +80,19 @@ class Network:
             found.append(z[:, 0])
         return np.concatenate(found)
 
+    def blocks_and_places(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`blocks`, and where in its block each greatest response stands."""
+        found, places = [], []
+        for at in range(0, max(1, len(s) - WIDTH + 1), SLAB):
+            z = self.responses(s[at : at + SLAB + WIDTH - 1])
+            if rest := -len(z) % BLOCK:
+                z = np.concatenate([z, np.full((rest, FILTERS), -np.inf, np.float32)])
+            shaped = np.ascontiguousarray(z.T).reshape(FILTERS, -1, BLOCK)
+            place = shaped.argmax(2)
+            found.append(np.take_along_axis(shaped, place[:, :, None], 2)[:, :, 0].T)
+            places.append(place.T)
+        return np.concatenate(found), np.concatenate(places)
+
     @staticmethod
     def chunks(blocks: np.ndarray) -> np.ndarray:
         """First block of each chunk; the chunks cover all blocks."""
@@ -96,13 +111,7 @@ class Network:
     def gradient(self, s: np.ndarray, label: int, grads: list[np.ndarray]) -> None:
         """Add a text's gradient of the log loss. Through a maximum it only flows
         to the place that has it."""
-        z = self.responses(s)
-        rest = -len(z) % BLOCK
-        padded = np.concatenate([z, np.full((rest, FILTERS), -np.inf, np.float32)]) if rest else z
-        shaped = np.ascontiguousarray(padded.T).reshape(FILTERS, -1, BLOCK)
-        place = shaped.argmax(2)
-        blocks = np.take_along_axis(shaped, place[:, :, None], 2)[:, :, 0].T
-        place = place.T
+        blocks, place = self.blocks_and_places(s)
         first = self.chunks(blocks)
         at = np.minimum(first[:, None] + np.arange(CHUNK), len(blocks) - 1)
         which = blocks[at].argmax(1)
@@ -122,11 +131,11 @@ class Network:
             np.add.at(grads[0][j], (s[start + j], np.arange(FILTERS)), back)
 
 
-def fit(texts: list[bytes], labels: list[int], epochs: int = 10, crop: int = 4096, batch: int = 32, rate: float = 0.02, seed: int = 7) -> Network:
-    """Train by Adam on crops of the texts; the same texts give the same network."""
+def fit(texts: list[bytes], labels: list[int], epochs: int = 10, batch: int = 32, rate: float = 0.02, seed: int = 7) -> Network:
+    """Train by Adam on whole texts; the same texts give the same network."""
     net, dice = Network(seed), np.random.default_rng(seed)
     order0 = sorted(range(len(texts)), key=lambda i: (texts[i], labels[i]))
-    coded = [symbols(texts[i]) for i in order0]
+    coded = [texts[i] for i in order0]
     target = [labels[i] for i in order0]
     first = [np.zeros_like(w) for w in net.weights()]
     second = [np.zeros_like(w) for w in net.weights()]
@@ -137,9 +146,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 10, crop: int = 409
             grads = [np.zeros_like(w) for w in net.weights()]
             some = order[lo : lo + batch]
             for i in some:
-                s = coded[i]
-                at = int(dice.integers(0, max(1, len(s) - crop + 1)))
-                net.gradient(s[at : at + crop], target[i], grads)
+                net.gradient(symbols(coded[i]), target[i], grads)
             step += 1
             now = rate * (1 - step / (steps + 1))
             for w, g, m, v in zip(net.weights(), grads, first, second, strict=True):
@@ -155,19 +162,25 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 2400, longest: int = 65536, **options) -> Network | None:
-    """A network from labelled documents that aren't held out. The driver gets
-    ``sample`` texts of ``longest`` characters at most; of a longer text, 16 pieces
-    from random places of all of it, the same in each run."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 2400, sample_bytes: int = 64 << 20, **options) -> Network | None:
+    """A network from labelled documents that aren't held out. The driver gets at
+    most ``sample`` whole texts with ``sample_bytes`` bytes in all; a text that goes
+    beyond them is left out, not cut."""
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    piece = longest // 16
-    drawn = F.expr(f"array_join(transform(sequence(0, 15), i -> substring(text, cast(pmod(xxhash64(doc_id, i), length(text) - {piece} + 1) as int) + 1, {piece})), '')")
-    rows = texts(docs).join(F.broadcast(known), "doc_id").select(F.when(F.length("text") > longest, drawn).otherwise(F.col("text")).alias("text"), "quality").limit(2 * sample).collect()
-    if not rows:
+    rows = texts(docs).join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = saved(rows, "sample")
+    sizes = rows.select("doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n")).collect()
+    chosen, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
+        if total + r.n <= sample_bytes:
+            chosen.append(r.doc_id)
+            total += r.n
+    got = rows.filter(F.col("doc_id").isin(chosen)).select("text", "quality").collect()
+    if not got:
         return None
-    return fit([r.text.encode() for r in rows], [int(r.quality) for r in rows], **options)
+    return fit([r.text.encode() for r in got], [int(r.quality) for r in got], **options)
 
 
 def scores(docs: DataFrame, network: Network | None) -> DataFrame:
