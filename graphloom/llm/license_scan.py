@@ -15,7 +15,6 @@ gives none; repeated rows each get a row; other columns are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect
 from collections.abc import Iterator
 
 import ahocorasick
@@ -65,6 +64,22 @@ def gaps(folded: str, lo: int, hi: int) -> list[int]:
     return found
 
 
+class Places:
+    """Short spans by stretches of 64 characters, so that those that meet a span are
+    found without looking at the others."""
+
+    def __init__(self) -> None:
+        self.by: dict[int, list[tuple[int, int, int]]] = {}
+
+    def add(self, a: int, b: int, edits: int) -> None:
+        for k in range(a >> 6, (b - 1 >> 6) + 1):
+            self.by.setdefault(k, []).append((a, b, edits))
+
+    def meeting(self, a: int, b: int) -> list[int]:
+        """Edits of the spans that overlap one."""
+        return [e for k in range(a >> 6, (b - 1 >> 6) + 1) for x, y, e in self.by.get(k, ()) if x < b and a < y]
+
+
 class Scanner:
     def __init__(self, notices: dict[str, str] = NOTICES, base: dict[str, str] = BASE):
         self.base = {f" {p} ": label for p, label in base.items()}
@@ -97,14 +112,16 @@ class Scanner:
                             done[a + 1, b] = sum(m.fuzzy_counts) if m else k + 1
         found = []
         for notice, done in tried.items():
-            own: list[tuple[int, int, int]] = []
+            own = Places()
             for edits, a, b in sorted((e, a, b) for (a, b), e in done.items() if e <= edits_allowed(notice)):
-                i = bisect(own, (a,))
-                if (not i or own[i - 1][1] <= a) and (i == len(own) or b <= own[i][0]):
-                    own.insert(i, (a, b, edits))
-            found += [(notice, *x) for x in own]
+                if not own.meeting(a, b):
+                    own.add(a, b, edits)
+                    found.append((notice, a, b, edits))
         # where notices overlap, the nearest one is meant ("version 3" isn't "version 2" with an edit)
-        return [x for x in found if not any(y[3] < x[3] and y[1] < x[2] and x[1] < y[2] for y in found)]
+        every = Places()
+        for _, a, b, edits in found:
+            every.add(a, b, edits)
+        return [x for x in found if not any(edits < x[3] for edits in every.meeting(x[1], x[2]))]
 
     def places(self, folded: str) -> list[tuple[int, str]]:
         """First word and label of each exact place of a base phrase."""
