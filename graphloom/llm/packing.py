@@ -1,7 +1,7 @@
 """Best-fit packing of token sequences by a grouping genetic algorithm.
 
 Documents are tokenised and cut into pieces of at most ``capacity`` tokens. The
-pieces are dealt by hash into shards of about ``shard`` pieces. Each shard is a
+pieces are dealt by number into shards of about ``shard`` pieces. Each shard is a
 packing problem of its own that several islands work on: an island holds a small
 population of packings, and its crossover injects whole well-filled bins of one
 parent into another, removes the bins that hold the same pieces twice, and puts
@@ -21,10 +21,12 @@ from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +34,16 @@ from .common import as_bytes, saved, texts
 from .word_bpe import word_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+NUMBERED = f"{PIECES}, nth long"
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
-    """:data:`PIECES` of all documents."""
+    """:data:`PIECES` of all documents, with a number of their own (``nth``), by which
+    repeated rows are dealt out as evenly as others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_encoder(tokenizer)
-        end = np.array([end_id], "<u4")
+        end, nth = np.array([end_id], "<u4"), TaskContext.get().partitionId() << 40
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for key, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(as_bytes(batch.column("text"))), strict=True):
@@ -49,9 +53,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
                     for column, value in zip(out, (key, i // capacity, i, len(part), zlib.crc32(part.tobytes())), strict=True):
                         column.append(value)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+            numbers = pa.array(np.arange(nth, nth + len(out[0])))
+            nth += len(out[0])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), numbers], names=[x.split()[0] for x in NUMBERED.split(", ")])
 
-    return texts(docs).mapInArrow(run, PIECES)
+    return texts(docs).mapInArrow(run, NUMBERED)
 
 
 class Packing:
@@ -88,20 +94,53 @@ def best_fit(order: list[int], size: list[int], capacity: int, bins: list[list[i
     return Packing(bins, free)
 
 
+def exchange(bins: list[list[int]], free: list[int], displaced: list[int], size: list[int]) -> list[int]:
+    """Fill bins better by taking a larger displaced piece for a piece, or for two, of
+    a bin. Returns what is displaced then, which is smaller and so easier to place."""
+    out = sorted(displaced, key=lambda i: size[i])
+    sizes = [size[i] for i in out]
+    for at, items in enumerate(bins):
+        room = free[at]
+        if not room or not out:
+            continue
+        best = (0, -1, ())
+        for x, i in enumerate(items):
+            for gone in ((i,), *((i, j) for j in items[x + 1 :])):
+                own = sum(size[g] for g in gone)
+                k = bisect_right(sizes, own + room) - 1
+                if k >= 0 and sizes[k] - own > best[0]:
+                    best = (sizes[k] - own, k, gone)
+        gain, k, gone = best
+        if gain:
+            items.append(out.pop(k))
+            sizes.pop(k)
+            free[at] -= gain
+            for g in gone:
+                items.remove(g)
+                k = bisect_right(sizes, size[g])
+                sizes.insert(k, size[g])
+                out.insert(k, g)
+    return out[::-1]
+
+
 def crossover(one: Packing, other: Packing, size: list[int], capacity: int, dice: random.Random) -> Packing:
-    """``one`` with a third of the well-filled bins of ``other`` injected."""
-    full = [i for i, f in enumerate(other.free) if f * 50 <= capacity]
+    """``one`` with a third of the well-filled bins of ``other`` injected. Bins that
+    hold one of their pieces twice go, as do the emptiest of the rest; displaced pieces
+    are exchanged for smaller ones where that fills a bin, and placed best-fit."""
+    full = sorted(range(len(other.free)), key=other.free.__getitem__)[: (len(other.free) + 1) // 2]
     some = dice.sample(full, (len(full) + 2) // 3)
     taken = {item for i in some for item in other.bins[i]}
     bins, free = [list(other.bins[i]) for i in some], [other.free[i] for i in some]
-    displaced = []
-    for items, f in zip(one.bins, one.free, strict=True):
-        if taken.isdisjoint(items):
-            bins.append(list(items))
-            free.append(f)
-        else:
-            displaced += [i for i in items if i not in taken]
-    displaced.sort(key=lambda i: -size[i])
+    rest = [(f, items) for items, f in zip(one.bins, one.free, strict=True) if taken.isdisjoint(items)]
+    displaced = [i for items in one.bins if not taken.isdisjoint(items) for i in items if i not in taken]
+    rest.sort(key=lambda x: x[0])
+    loose = max(1, len(rest) // 20)
+    for f, items in rest[:-loose]:
+        bins.append(list(items))
+        free.append(f)
+    displaced += [i for _, items in rest[-loose:] for i in items]
+    for _ in range(2):
+        displaced = exchange(bins, free, displaced, size)
     return best_fit(displaced, size, capacity, bins, free)
 
 
@@ -141,12 +180,12 @@ def evolve(size: list[int], capacity: int, guests: list[list[int]], seed: int, p
 
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, shard: int = 4096, islands: int = 2, epochs: int = 2, population: int = 3, generations: int = 4) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, shard: int = 4096, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 12) -> DataFrame:
     """:data:`PIECES` with ``sequence_id`` and ``offset``, a row for each piece."""
     cut = saved(pieces(docs, tokenizer, capacity, end_id), "pieces")
     shards = max(1, -(-cut.count() // shard))
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
-    items = dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("doc_id", "piece", "start", "length", "ids_crc32"))).alias("items"))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("nth"), F.lit(shards)))
+    items = dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("doc_id", "piece", "start", "length", "ids_crc32", "nth"))).alias("items"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,6 +217,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     placed = placed.select("shard", "x.items.*", F.col("x.bin").alias("bin"))
     from pyspark.sql import Window
 
-    inside = Window.partitionBy("shard", "bin").orderBy("doc_id", "piece", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("shard", "bin").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(inside), F.lit(0))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("shard") * (1 << 32) + F.col("bin")).alias("sequence_id"), offset.alias("offset"))
