@@ -2,15 +2,17 @@
 
 A wavelet matrix stores a sequence over an alphabet of size s in ceil(log2 s)
 planes of one bit a token, each plane in the order that a stable partition by
-the plane above gives. Counts of set bits up to each 64-bit word (rank) and a
-search in them (select) give access to a token, the count of a token before a
-place, and the place of its k-th occurrence, without decoding the rest.
+the plane above gives. Counts of set bits up to each 512th bit are stored with
+the planes (rank) and a search in them (select) gives access to a token, the
+count of a token before a place, and the place of its k-th occurrence, without
+decoding the rest. :func:`access`, :func:`count` and :func:`occurrences` answer
+these over all shards of a table, shard by shard.
 
 Shards are ranges of doc_id in ascending order. A shard is a Parquet file in
-the shared folder, which any store that Spark knows can hold; its rows are
-blocks of whole documents with at most ``BLOCK`` tokens (one document, if that
-is longer), and a block's payload is the file format proper, which
-:meth:`WaveletMatrix.to_bytes` describes.
+the shared folder, which any store that Spark knows can hold, and has one matrix
+of all its tokens; one with over ``LARGEST`` tokens has a matrix for each so many
+(whole documents; one document, if that is longer), which bounds a task's
+memory. The payload is the format proper: :meth:`WaveletMatrix.to_bytes`.
 
 Null text is empty: such a document has its end id alone. Documents with the
 same doc_id keep a row each, in any order; a null doc_id comes first. An empty
@@ -33,16 +35,22 @@ from pyspark.sql import functions as F
 from .common import as_bytes, partitions, saved, texts
 from .word_bpe import word_encoder
 
-BLOCK = 1 << 18
+LARGEST = 1 << 22
+SPAN = 8  # 64-bit words between two stored counts
 NULL = -(2**63)
 
 
+def words_for(n: int) -> int:
+    """64-bit words of a plane: whole spans, and one more, so that every place has one."""
+    return (n // (64 * SPAN) + 1) * SPAN
+
+
 class WaveletMatrix:
-    def __init__(self, n: int, alphabet: np.ndarray, zeros: list[int], planes: list[np.ndarray]):
+    def __init__(self, n: int, alphabet: np.ndarray, zeros: list[int], planes: list[np.ndarray], before: list[np.ndarray]):
         """``alphabet``: ids in ascending order; ``planes``: 64-bit words, most
-        significant plane first; ``zeros``: unset bits of each plane."""
-        self.n, self.alphabet, self.zeros, self.planes = n, alphabet, zeros, planes
-        self.before = [np.concatenate([[0], np.cumsum(np.bitwise_count(p), dtype=np.int64)]) for p in planes]
+        significant plane first; ``zeros``: unset bits of each plane; ``before``:
+        set bits of a plane before each span of :data:`SPAN` words."""
+        self.n, self.alphabet, self.zeros, self.planes, self.before = n, alphabet, zeros, planes, before
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -54,23 +62,26 @@ class WaveletMatrix:
         now = symbol[ids]
         if len(alphabet) <= 1 << 16:
             now = now.astype(np.uint16)
-        zeros, planes = [], []
+        zeros, planes, before = [], [], []
         for bit in reversed(range(max(0, int(len(alphabet) - 1).bit_length()))):
             ones = (now >> now.dtype.type(bit) & now.dtype.type(1)).astype(bool)
-            packed = np.zeros((len(now) + 63) // 64 * 8, np.uint8)
+            packed = np.zeros(words_for(len(now)) * 8, np.uint8)
             raw = np.packbits(ones, bitorder="little")
             packed[: len(raw)] = raw
             planes.append(packed.view(np.uint64))
+            each = np.bitwise_count(planes[-1]).reshape(-1, SPAN).sum(1, dtype=np.uint32)
+            before.append(np.cumsum(each, dtype=np.uint32) - each)
             low = now[~ones]
             zeros.append(len(low))
             now = np.concatenate([low, now[ones]])
-        return cls(len(ids), alphabet, zeros, planes)
+        return cls(len(ids), alphabet, zeros, planes, before)
 
     def to_bytes(self) -> bytes:
         """Zstandard of: tokens (8 bytes), size of the alphabet (4), number of
-        planes (1), the alphabet (4 each), zeros (8 each), planes (8 each word)."""
+        planes (1), the alphabet (4 each), zeros (8 each), planes (8 each word), set
+        bits before each span of a plane (4 each)."""
         head = struct.pack("<QIB", self.n, len(self.alphabet), len(self.planes))
-        return zstandard.compress(b"".join([head, self.alphabet.astype("<u4").tobytes(), np.array(self.zeros, "<u8").tobytes(), *(p.astype("<u8").tobytes() for p in self.planes)]), 1)
+        return zstandard.compress(b"".join([head, self.alphabet.astype("<u4").tobytes(), np.array(self.zeros, "<u8").tobytes(), *(p.astype("<u8").tobytes() for p in self.planes), *(b.astype("<u4").tobytes() for b in self.before)]), 1)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
@@ -81,27 +92,33 @@ class WaveletMatrix:
         at += size * 4
         zeros = np.frombuffer(data, "<u8", depth, at).tolist()
         at += depth * 8
-        words = (n + 63) // 64
-        return cls(n, alphabet, zeros, [np.frombuffer(data, "<u8", words, at + i * words * 8) for i in range(depth)])
+        words = words_for(n)
+        planes = [np.frombuffer(data, "<u8", words, at + i * words * 8) for i in range(depth)]
+        at += depth * words * 8
+        return cls(n, alphabet, zeros, planes, [np.frombuffer(data, "<u4", words // SPAN, at + i * words // SPAN * 4) for i in range(depth)])
 
     def _bits(self, level: int) -> np.ndarray:
         return np.unpackbits(self.planes[level].view(np.uint8), count=self.n, bitorder="little").astype(bool)
 
     def _rank(self, level: int, at: int) -> int:
         """Set bits before a place."""
-        word, rest = divmod(at, 64)
-        got = int(self.before[level][word])
+        span, word, rest = at // (64 * SPAN), at // 64, at % 64
+        got = int(self.before[level][span]) + int(np.bitwise_count(self.planes[level][span * SPAN : word]).sum())
         return got + ((int(self.planes[level][word]) & ((1 << rest) - 1)).bit_count() if rest else 0)
 
     def _select(self, level: int, k: np.ndarray, bit: int) -> np.ndarray:
         """Places of the k-th set (or unset) bits, from 0."""
-        before = self.before[level] if bit else np.arange(len(self.before[level])) * 64 - self.before[level]
-        word = np.searchsorted(before, k, "right") - 1
-        words = self.planes[level][word]
-        bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        bits = bits if bit else 1 - bits
-        nth = np.cumsum(bits, axis=1, dtype=np.int64) == (k - before[word] + 1)[:, None]
-        return word * 64 + (nth & (bits > 0)).argmax(1)
+        before = self.before[level].astype(np.int64)
+        before = before if bit else np.arange(len(before)) * 64 * SPAN - before
+        out, spans = np.empty(len(k), np.int64), self.planes[level].reshape(-1, SPAN)
+        for lo in range(0, len(k), 4096):
+            some = k[lo : lo + 4096]
+            span = np.searchsorted(before, some, "right") - 1
+            bits = np.unpackbits(np.ascontiguousarray(spans[span]).view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
+            bits = bits if bit else 1 - bits
+            nth = np.cumsum(bits, axis=1, dtype=np.int16) == (some - before[span] + 1)[:, None]
+            out[lo : lo + 4096] = span * 64 * SPAN + (nth & (bits > 0)).argmax(1)
+        return out
 
     def access(self, at: int) -> int:
         """The id at a place."""
@@ -156,10 +173,10 @@ class WaveletMatrix:
         return self.alphabet[now]
 
 
-FILES = "shard int, block int, before long, n_tokens long, doc_ids binary, lengths binary, payload binary"
+FILES = "shard int, matrix int, before long, n_tokens long, doc_ids binary, lengths binary, payload binary"
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 1, shards: int | None = None) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, end_id: int = 1, shards: int | None = None, largest: int = LARGEST) -> DataFrame:
     """Write the shards; the returned table reads them (:data:`FILES`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,20 +184,20 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, shards: int | None =
         names = [x.split()[0] for x in FILES.split(", ")]
         held: list[np.ndarray] = []
         ids: list[int] = []
-        size = block = before = 0
+        size = matrix = before = 0
 
         def closed() -> pa.RecordBatch:
-            nonlocal held, ids, size, block, before
+            nonlocal held, ids, size, matrix, before
             lengths = np.array([len(x) for x in held], "<u4")
-            row = [[shard], [block], [before], [size], [np.array(ids, "<i8").tobytes()], [lengths.tobytes()], [WaveletMatrix.build(np.concatenate(held)).to_bytes()]]
+            row = [[shard], [matrix], [before], [size], [np.array(ids, "<i8").tobytes()], [lengths.tobytes()], [WaveletMatrix.build(np.concatenate(held)).to_bytes()]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            held, ids, size, block, before = [], [], 0, block + 1, before + size
+            held, ids, size, matrix, before = [], [], 0, matrix + 1, before + size
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=names)
 
         for batch in batches:
             keys = [NULL if k is None else k for k in batch.column("doc_id").to_pylist()]
             for key, got in zip(keys, coder.encode(as_bytes(batch.column("text"))), strict=True):
-                if size and size + len(got) + 1 > BLOCK:
+                if size and size + len(got) + 1 > largest:
                     yield closed()
                 held.append(np.append(got, np.uint32(end_id)))
                 ids.append(key)
@@ -195,7 +212,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, shards: int | None =
 
 def read(files: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` (binary, little-endian unsigned 32-bit) of
-    every document. Only block sizes reach the driver, a number for each block."""
+    every document."""
     return _read(files, "doc_id long, start long, n_tokens long, ids binary", lambda ids: ids.astype("<u4").tobytes())
 
 
@@ -205,17 +222,59 @@ def digest(files: DataFrame) -> DataFrame:
 
 
 def _read(files: DataFrame, schema: str, of) -> DataFrame:
+    def answer(matrix: WaveletMatrix, start: int, keys: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
+        ids, ends = matrix.tokens(), np.cumsum(lengths)
+        value = [of(ids[b - k : b]) for b, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
+        return [pa.array(keys, pa.int64(), mask=keys == NULL), pa.array(start + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(value)]
+
+    return _each(files, schema, answer)
+
+
+def _each(files: DataFrame, schema: str, answer) -> DataFrame:
+    """Columns that ``answer(matrix, start, doc_ids, lengths)`` gives for each matrix;
+    ``start``: tokens of all matrices before. The driver gets a number for each shard."""
     sizes = sorted((r.shard, r.n) for r in files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())
     first = dict(zip([s for s, _ in sizes], np.cumsum([0, *(n for _, n in sizes)]).tolist(), strict=False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, before, keys, lengths, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, lengths = np.frombuffer(keys, "<i8"), np.frombuffer(lengths, "<u4").astype(np.int64)
-                ids = WaveletMatrix.from_bytes(payload).tokens()
-                ends = np.cumsum(lengths)
-                value = [of(ids[b - k : b]) for b, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                columns = [pa.array(keys, pa.int64(), mask=keys == NULL), pa.array(first[shard] + before + ends - lengths, pa.int64()), pa.array(lengths, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(value)], names=[x.split()[0] for x in schema.split(", ")])
+            for shard, before, keys, lengths, payload in zip(*(batch.column(i) for i in range(5)), strict=True):
+                keys, lengths = np.frombuffer(keys.as_buffer(), "<i8"), np.frombuffer(lengths.as_buffer(), "<u4").astype(np.int64)
+                matrix = WaveletMatrix.from_bytes(payload.as_buffer())
+                yield pa.RecordBatch.from_arrays(answer(matrix, first[shard.as_py()] + before.as_py(), keys, lengths), names=[x.split()[0] for x in schema.split(", ")])
 
     return files.select("shard", "before", "doc_ids", "lengths", "payload").mapInArrow(run, schema)
+
+
+def access(files: DataFrame, places: list[int]) -> DataFrame:
+    """``place, token`` of places in the whole sequence; places outside give no row.
+    The list is part of the question and travels with it."""
+    asked = np.unique(np.array(places, np.int64))
+
+    def answer(matrix: WaveletMatrix, start: int, keys: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
+        own = asked[(asked >= start) & (asked < start + matrix.n)]
+        return [pa.array(own), pa.array([matrix.access(at - start) for at in own.tolist()], pa.int64())]
+
+    return _each(files, "place long, token long", answer)
+
+
+def count(files: DataFrame, token: int, until: int | None = None) -> DataFrame:
+    """``n``: occurrences of a token, before a place of the whole sequence if given."""
+
+    def answer(matrix: WaveletMatrix, start: int, keys: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
+        end = matrix.n if until is None else min(max(until - start, 0), matrix.n)
+        return [pa.array([matrix.count(token, end)], pa.int64())]
+
+    return _each(files, "n long", answer).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def occurrences(files: DataFrame, token: int) -> DataFrame:
+    """``doc_id, place, offset``: each occurrence of a token, by its place in the whole
+    sequence and in its document."""
+
+    def answer(matrix: WaveletMatrix, start: int, keys: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
+        at, ends = matrix.occurrences(token), np.cumsum(lengths)
+        doc = np.searchsorted(ends, at, "right")
+        return [pa.array(keys[doc], pa.int64(), mask=keys[doc] == NULL), pa.array(start + at, pa.int64()), pa.array(at - (ends - lengths)[doc], pa.int64())]
+
+    return _each(files, "doc_id long, place long, offset long", answer)
