@@ -9,9 +9,9 @@ double precision.
 
 Pivots are fitted on a bounded sample (up to 512 vectors a label, 51,200 in all or
 ``pivots`` a label, those with the least hash of vec_id), spread out over it; every
-vector is indexed. They are chosen for each of the
-1000 most frequent labels, as only vectors of one label are compared; vectors
-of rarer labels are one list each.
+vector is indexed. As only vectors of one label are compared, each of the ``own``
+most frequent labels has pivots of its own; the others share pivots that are fitted
+on a sample of them all (``sample`` vectors), in lists of their own.
 
 Equal vectors are one node with a weight. Long lists are compared in tiles. A
 pair that shares several lists is counted in one of them: the list of the least
@@ -63,23 +63,29 @@ def spread(unit: np.ndarray, pivots: int) -> np.ndarray:
     return unit[chosen]
 
 
-def pivot_table(vectors: DataFrame, pivots: int, sample: int = 51_200, most_labels: int = 1000) -> dict[int, np.ndarray]:
-    """Unit vectors of each label's pivots, from ``sample`` vectors in all."""
+def pivot_table(vectors: DataFrame, pivots: int, sample: int = 51_200, own: int = 1000) -> dict[tuple[str | None, int], np.ndarray]:
+    """Unit vectors of the pivots of each label and width of vectors, from ``sample``
+    vectors in all; those of the label None serve all labels that aren't there."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("label").orderBy(F.xxhash64("node"), "node")
-    frequent = [r["label"] for r in vectors.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_labels).collect()]
+    frequent = [r["label"] for r in vectors.groupBy("label").count().orderBy(F.desc("count"), "label").limit(own + 1).collect()]
+    more, frequent = len(frequent) > own, frequent[:own]
     each = max(pivots, min(512, sample // max(1, len(frequent))))
     drawn = vectors.filter(F.col("label").isin(frequent)).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= each)
-    out: dict[int, list] = {}
-    for row in sorted(drawn.select("label", "vector", "nth").collect(), key=lambda r: (r.label, r.nth)):
-        out.setdefault(row.label, []).append(row.vector)
-    return {k: spread(_unit(np.array(v, np.float64)), pivots) for k, v in out.items() if len({len(x) for x in v}) == 1}
+    rows = [(r.label, r.nth, r.vector) for r in drawn.select("label", "vector", "nth").collect()]
+    if more:
+        rest = vectors.filter(~F.col("label").isin(frequent)).orderBy(F.xxhash64("node"), "node").limit(max(pivots, sample // 10))
+        rows += [(None, i, r.vector) for i, r in enumerate(rest.select("vector").collect())]
+    out: dict[tuple[str | None, int], list] = {}
+    for label, _, vector in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        out.setdefault((label, len(vector)), []).append(vector)
+    return {k: spread(_unit(np.array(v, np.float64)), pivots) for k, v in out.items()}
 
 
-def near_duplicates(rows: DataFrame, cosine: float = 0.98, pivots: int = 48, depth: int = 4, shared: int = 2, most: int = 512) -> DataFrame:
+def near_duplicates(rows: DataFrame, cosine: float = 0.98, pivots: int = 48, depth: int = 4, shared: int = 2, most: int = 512, own: int = 1000) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, a row for each vector."""
-    rows = rows.select(F.coalesce("vec_id", F.lit(NULL)).alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").alias("vector"))
+    rows = rows.select(F.coalesce("vec_id", F.lit(NULL)).alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").alias("vector"))
     rows = rows.withColumn("fine", usable("vector") & F.col("label").isNotNull())
     # -0.0 and 0.0 are equal components
     rows = rows.withColumn("vector", F.when(F.col("fine"), F.transform("vector", lambda x: F.when(x == 0, F.abs(x)).otherwise(x))))
@@ -87,21 +93,25 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, pivots: int = 48, dep
     rows = saved(rows.withColumn("same", key), "vectors")
     nodes = rows.filter("fine").groupBy("same").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.min_by(F.struct("label", "vector"), "vec_id").alias("v"))
     nodes = saved(nodes.select("same", "node", "weight", "v.label", "v.vector"), "vectors")
-    table = pivot_table(nodes, pivots)
+    table = pivot_table(nodes, pivots, own=own)
     items = nodes.schema["vector"].simpleString().split(":", 1)[1]
     schema = f"key long, node long, weight long, mask long, pivots long, vector {items}"
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label = batch.column("label").to_numpy()
+            names = batch.column("label").dictionary_encode()
+            label, names = names.indices.to_numpy(), names.dictionary.to_pylist()
             vector = batch.column("vector")
             size = np.diff(vector.offsets.to_numpy())
             keys, where, masks, lists = [], [], [], []
-            for name, width in {(int(a), int(b)) for a, b in zip(label, size, strict=True)}:
-                at = np.flatnonzero((label == name) & (size == width))
-                refs = table.get(name)
-                base = int(xxhash.xxh64_intdigest(f"{name}/{width}")) >> 2
-                if refs is None or refs.shape[1] != width:  # no pivots for these: one list
+            order = np.lexsort((size, label))
+            edge = np.flatnonzero(np.concatenate([[True], (np.diff(label[order]) != 0) | (np.diff(size[order]) != 0), [True]]))
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                at = np.sort(order[lo:hi])
+                name, width = names[label[at[0]]], int(size[at[0]])
+                refs = table.get((name, width), table.get((None, width)))
+                base = int(xxhash.xxh64_intdigest(f"{width}/{name}")) >> 2
+                if refs is None:  # a width that no vector of the sample has: one list
                     keys.append(np.full(len(at), base, np.int64))
                     where.append(at)
                     masks.append(np.ones(len(at), np.int64))
