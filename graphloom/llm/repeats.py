@@ -234,31 +234,35 @@ SHARED = "g long, h long, hot boolean"
 
 
 def _shared(hot: int) -> Callable:
-    """Grams that two texts or more have, from rows sorted by bucket, with the text
-    that stood for each batch; a bucket is held at a time."""
+    """Grams that two texts or more have, one of them new, from rows sorted by bucket,
+    with the text that stood for each batch; a bucket is held at a time."""
 
-    def found(packed: list[bytes]) -> pa.RecordBatch:
+    def found(packed: list[bytes], news: list[bool]) -> pa.RecordBatch:
         seen = np.frombuffer(b"".join(packed), SEEN)
-        seen = seen[np.lexsort((seen["h"], seen["g"]))]
+        new = np.repeat(news, [len(p) // SEEN.itemsize for p in packed])
+        order = np.lexsort((seen["h"], seen["g"]))
+        seen, new = seen[order], new[order]
         g, h = seen["g"], seen["h"]
         at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         size = np.diff(np.append(at, len(g)))
         several = (h[at] != h[at + size - 1]) | (np.maximum.reduceat(seen["many"], at) > 1)
+        several &= np.maximum.reduceat(new, at)
         keep = np.repeat(several, size)
         total = np.repeat(np.add.reduceat(seen["many"].astype(np.int64), at), size)
         return pa.RecordBatch.from_arrays([pa.array(g[keep]), pa.array(h[keep]), pa.array(total[keep] > hot)], names=["g", "h", "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, news = None, [], []
         for batch in batches:
-            for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+            for bucket, packed, new in zip(*(batch.column(c).to_pylist() for c in ("bucket", "packed", "new")), strict=True):
                 if bucket != now and held:
-                    yield found(held)
-                    held = []
+                    yield found(held, news)
+                    held, news = [], []
                 now = bucket
                 held.append(packed)
+                news.append(new)
         if held:
-            yield found(held)
+            yield found(held, news)
 
     return run
 
@@ -304,38 +308,63 @@ def _slices(unit: str, window: int, k: int, keep_first: bool, hot_band: int) ->
 RANGES = "doc_id long, h long, lo int, hi int"
 
 
+def prepared(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``h``, a hash of the text; a null doc_id is the smallest id and a
+    null text empty."""
+    return docs.withColumns({"doc_id": F.coalesce("doc_id", F.lit(-(2**63))), "text": F.coalesce("text", F.lit(""))}).withColumn("h", F.xxhash64("text"))
+
+
+def indexed(docs: DataFrame, unit: str, window: int, k: int, keep_first: bool, buckets: int) -> DataFrame:
+    """:data:`INDEX` of :func:`prepared` documents."""
+    return docs.select("doc_id", "h", "text").mapInArrow(_index(unit, window, k, keep_first, buckets), INDEX)
+
+
 def covered_windows(docs: DataFrame, unit: str, window: int, k: int, keep_first: bool, resolver: Callable, hot: int = 4096, hot_band: int | None = None) -> DataFrame:
     """``docs`` with ``h`` (a hash of the text) and ``ranges``: the starts of its
     covered windows as half-open ranges. With ``keep_first`` a window is covered if
     an equal one starts earlier, else if there is any other equal one. A null
     doc_id counts as the smallest id."""
     small_batches(docs.sparkSession)
-    docs = docs.withColumns({"doc_id": F.coalesce("doc_id", F.lit(-(2**63))), "text": F.coalesce("text", F.lit(""))}).withColumn("h", F.xxhash64("text"))
-    buckets = 16 * partitions(docs.sparkSession)
-    index = saved(docs.select("doc_id", "h", "text").mapInArrow(_index(unit, window, k, keep_first, buckets), INDEX), "repeats")
+    docs = prepared(docs)
+    index = saved(indexed(docs, unit, window, k, keep_first, 16 * partitions(docs.sparkSession)), "repeats")
+    found = ranges_of(index, docs, None, unit, window, k, keep_first, resolver, hot, hot_band)
+    found = found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    return docs.join(found, ["doc_id", "h"], "left")
+
+
+def ranges_of(index: DataFrame, docs: DataFrame, older: DataFrame | None, unit: str, window: int, k: int, keep_first: bool, resolver: Callable, hot: int = 4096, hot_band: int | None = None) -> DataFrame:
+    """:data:`RANGES` of windows of ``docs`` that are covered. With ``older``, the index
+    of texts that were there before, only repeats in which a text of ``index`` takes
+    part are looked for; ``docs`` has the texts of both."""
     each = index.filter("n is not null").select("doc_id", "h", "n", "los", "his")
+    seen = index.filter("bucket is not null").select("bucket", "packed", F.lit(True).alias("new"))
+    local = index.filter("grams is not null").select(F.explode("grams").alias("g"), "h")
+    rows = each.select("doc_id", "h", "n", F.lit(True).alias("new"))
+    if older is not None:
+        rows = rows.unionByName(older.filter("n is not null").select("doc_id", "h", "n", F.lit(False).alias("new")))
+        seen = seen.unionByName(older.filter("bucket is not null").select("bucket", "packed", F.lit(False).alias("new")))
 
     # of equal texts, the least doc_id stands for all
-    groups = each.groupBy("h", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    copies = each.select("doc_id", "h", "n").join(groups.filter("copies > 1"), ["h", "n"]).filter("n >= %d" % window)
+    groups = rows.groupBy("h", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("new").alias("new"))
+    copies = rows.select("doc_id", "h", "n").join(groups.filter("copies > 1 and new").drop("new"), ["h", "n"]).filter("n >= %d" % window)
     removed = copies.filter("doc_id <> least") if keep_first else copies
 
-    seen = index.filter("bucket is not null").select("bucket", "packed").repartition("bucket").sortWithinPartitions("bucket")
-    known = saved(seen.mapInArrow(_shared(hot), SHARED), "shared")
-    local = index.filter("grams is not null").select(F.explode("grams").alias("g"), "h")
+    known = saved(seen.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(hot), SHARED), "shared")
+    if older is not None:  # of the grams that older batches shared, those that come again
+        before = older.filter("grams is not null").select(F.explode("grams").alias("g"), "h")
+        local = local.unionByName(before.join(known.select("g").distinct(), "g", "left_semi"))
     often = known.filter("hot").select("g").distinct().withColumn("hot", F.lit(True))
     hits = known.select("g", "h").unionByName(local).join(often, "g", "left")
     hits = hits.groupBy("h").agg(F.collect_set("g").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("g"))).alias("hots"))
     hits = groups.select("h", F.col("least").alias("doc_id")).join(hits, "h")
-    context = docs.join(hits, ["doc_id", "h"])  # all columns, as below: one exchange of texts serves both joins
+    context = docs.join(hits, ["doc_id", "h"])  # all columns, as in covered_windows: one exchange of texts serves both joins
     context = context.mapInArrow(_slices(unit, window, k, keep_first, hot_band or max(1, (window - k + 1) // 10)), CONTEXT)
     context = context.repartition("g", "band").sortWithinPartitions("g", "band", "doc_id", "first")
     ranges = context.mapInArrow(resolver, RANGES)
 
     own = each.filter(F.size("los") > 0).select("doc_id", "h", F.explode(F.arrays_zip("los", "his")).alias("r")).select("doc_id", "h", F.col("r.los").alias("lo"), F.col("r.his").alias("hi"))
     entire = removed.select("doc_id", "h", F.lit(0).alias("lo"), (F.col("n") - (window - 1)).cast("int").alias("hi"))
-    found = ranges.unionByName(own).unionByName(entire).groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    return docs.join(found, ["doc_id", "h"], "left")
+    return ranges.unionByName(own).unionByName(entire)
 
 
 def covered_units(n: int, ranges: list[dict] | None, window: int) -> np.ndarray:
