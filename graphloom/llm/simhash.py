@@ -17,6 +17,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,6 +123,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 2, hot: int = 25
 WORDS = 24  # 64-bit words of a wide fingerprint
 SKETCH = 4  # of them, those that stand for all where candidates are compared
 MANY = 4096  # rows of a bucket that are compared at once
+FEW = 6  # rows of a bucket up to which all its pairs are candidates
 CHANCE = 256  # rows that may share a key by chance before keys get wider
 _ODD = 2 * np.arange(WORDS, dtype=np.uint64) + np.uint64(1)
 _STEP = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -142,8 +144,8 @@ def wide_fingerprint(text: bytes, size: int) -> bytes:
     return np.packbits(2 * ones > len(h)).tobytes()
 
 
-def jaccard(a: bytes, b: bytes, size: int) -> float:
-    x, y = shingle_set(a, size), shingle_set(b, size)
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity of two sets, each distinct and sorted."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
@@ -183,12 +185,21 @@ def far_apart(sketch: np.ndarray, i, j) -> np.ndarray:
 def leaders(sketch: np.ndarray, order: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
     """Each row linked to the first row, in ``order``, that leads and is near it. A
     row that no leader is near leads itself."""
-    left, a, b = order, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    while len(left) > 1:
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left = order
+    while len(left) > 512:
         near = far_apart(sketch, left[1:], left[0]) <= far
         b.append(left[1:][near])
         a.append(np.full(len(b[-1]), left[0]))
         left = left[1:][~near]
+    near = np.triu(far_apart(sketch, left[:, None], left) <= far, 1)
+    free = np.ones(len(left), bool)
+    for i in np.flatnonzero(near.any(1)).tolist():
+        if free[i]:
+            led = np.flatnonzero(near[i] & free)
+            free[led] = False
+            b.append(left[led])
+            a.append(np.full(len(led), left[i]))
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -204,19 +215,6 @@ def all_pairs(sketch: np.ndarray, edge: np.ndarray, far: int) -> tuple[np.ndarra
     return np.concatenate(a), np.concatenate(b)
 
 
-def few_pairs(sketch: np.ndarray, far: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Near rows of one bucket, unless there are over ``most`` such pairs."""
-    a, b, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    for i in range(len(sketch) - 1):
-        at = np.flatnonzero(far_apart(sketch, slice(i + 1, None), i) <= far)
-        if many := many + len(at):
-            if many > most:
-                return None
-            a.append(np.full(len(at), i))
-            b.append(at + i + 1)
-    return np.concatenate(a), np.concatenate(b)
-
-
 def nearest_of_groups(sketch: np.ndarray, root: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each two groups that have near rows, the two nearest."""
     found = [[np.zeros(0, np.int64)] for _ in range(5)]
@@ -296,28 +294,26 @@ def _keyed(nodes: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def _candidates(nodes: DataFrame, bits: np.ndarray, count: int, far: int, many: int) -> DataFrame:
-    """``a, b`` of the first round, and ``key`` of buckets that need another.
+    """``a, b``, and ``key`` of buckets that need another round.
 
-    A bucket with at most 16 near pairs a row gives them all. Others give a link of
-    each row to a leader, and their keys: what isn't linked by those is looked for
-    again, with the groups found so far."""
+    A bucket of at most :data:`FEW` rows gives all near pairs. In others each row is
+    linked to a leader, the near row with the least node; as two rows that are near share
+    several keys and meet other rows under each, they have as many leaders to be linked
+    by. Buckets that come in parts are looked at again, with the groups found so far."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edge, whole in buckets(batches, ("key", "part"), many):
             key, node, sketch = table.column("key").to_numpy(), table.column("node").to_numpy(), _sketches(table)
             size, parts = np.diff(edge), table.column("parts").to_numpy()[edge[:-1]]
             again = (parts > 1) | (not whole)
-            rows = np.flatnonzero(np.repeat(size <= 64, size))
-            x, y = all_pairs(sketch[rows], np.concatenate([[0], np.cumsum(size[size <= 64])]), far)
+            rows = np.flatnonzero(np.repeat(size <= FEW, size))
+            x, y = all_pairs(sketch[rows], np.concatenate([[0], np.cumsum(size[size <= FEW])]), far)
             a, b = [rows[x]], [rows[y]]
-            for k in np.flatnonzero(size > 64).tolist():
+            for k in np.flatnonzero(size > FEW).tolist():
                 own = slice(int(edge[k]), int(edge[k + 1]))
-                pairs = few_pairs(sketch[own], far, 16 * int(size[k]))
-                if pairs is None:
-                    pairs = leaders(sketch[own], np.argsort(node[own], kind="stable"), far)
-                    again[k] = True
-                a.append(pairs[0] + own.start)
-                b.append(pairs[1] + own.start)
+                x, y = leaders(sketch[own], np.argsort(node[own], kind="stable"), far)
+                a.append(x + own.start)
+                b.append(y + own.start)
             x, y = node[np.concatenate(a)], node[np.concatenate(b)]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64())], names=["a", "b", "key"])
             if again.any():
@@ -378,9 +374,10 @@ def _groups(docs: DataFrame, size: int, similarity: float, many: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), pa.array(fp, pa.binary())], names=["_id", "_h", "fp"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = functools.lru_cache(64)(functools.partial(shingle_set, size=size))  # a leader comes many times
         for batch in batches:
             x, y = as_bytes(batch.column("ta")), as_bytes(batch.column("tb"))
-            alike = pa.array([jaccard(t, u, size) >= similarity for t, u in zip(x, y, strict=True)], pa.bool_())
+            alike = pa.array([jaccard(shingles(t), shingles(u)) >= similarity for t, u in zip(x, y, strict=True)], pa.bool_())
             yield batch.select(["a", "b"]).filter(alike)
 
     text = texts(docs, "_id", "_h").drop("doc_id")
@@ -422,9 +419,9 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, many: int =
     blocks of 16 bits) and differ in :func:`far_bits` of a 256-bit sketch at most; each
     is verified on its texts. Bits of two fingerprints differ with probability
     ``acos(2 J / (1 + J)) / pi``, so at J = 0.8 a pair is a candidate in over 99.8 of
-    100 cases. In buckets with many near pairs, rows are linked to leaders first;
-    groups that are near each other there are then tried by their nearest rows,
-    until no more are joined."""
+    100 cases. In buckets of over :data:`FEW` rows candidates are linked to leaders; in
+    those of over ``many``, groups that are near each other are then tried by their
+    nearest rows, until no more are joined."""
     rows = _groups(_marked(docs), size, similarity, many)
     least = rows.groupBy("root").agg(F.min("_id").alias("least"))
     real = [F.expr(f"nullif({c}, -9223372036854775808)").alias(n) for c, n in (("_id", "doc_id"), ("least", "component_id"))]
