@@ -101,32 +101,56 @@ def upsert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
 
 
 #: Relations that say little. Fixed values.
-LOW_SIGNAL = ("MENTIONS", "RELATED_TO", "CO_OCCURS_WITH", "SIMILAR_TO")
+LOW_SIGNAL = ("CO_OCCURS_WITH", "HAS_CHUNK", "MENTIONS")
 
 
-def relation_score(boosts: DataFrame | None = None):
-    """100 for a relation, 20 for MENTIONS, 10 for others that say little."""
+def relation_score(boosts: dict[str, float] | None = None):
+    """100 for a relation, 20 for MENTIONS, 10 for others that say little, and what
+    ``boosts`` adds to a relation (by its name in upper case)."""
     upper = F.upper("relation_type")
-    return F.when(upper == "MENTIONS", 20.0).when(upper.isin(*LOW_SIGNAL), 10.0).otherwise(100.0)
-
-
-def select_edges(edges: DataFrame, seeds: list[str], limit: int, low_signal_limit: int | None = None, low_signal_per_entity: int | None = None, boosts: dict[str, float] | None = None) -> DataFrame:
-    """The ``limit`` best edges for a trace: by relation score with boosts, touching
-    a seed, having evidence, then by name. Of relations that say little, at most
-    ``low_signal_limit`` in all and ``low_signal_per_entity`` at each source."""
+    score = F.when(upper == "MENTIONS", 20.0).when(upper.isin(*LOW_SIGNAL), 10.0).otherwise(100.0)
+    for relation, boost in (boosts or {}).items():
+        score = score + F.when(upper == relation, float(boost)).otherwise(0.0)
+    return score
+
+
+def select_edges(edges: DataFrame, seeds: list[str], limit: int = 12, low_signal_limit: int = 4, low_signal_per_entity: int = 2, boosts: dict[str, float] | None = None) -> DataFrame:
+    """The ``limit`` best edges for a trace: by relation score with boosts, number of
+    ends that are seeds, having evidence (``evidence_chunk_id``), then by names in
+    lower case. A fact counts once, whatever its evidence; of relations that say
+    little, an edge counts once for each evidence, at most ``low_signal_limit`` are
+    taken, and at most ``low_signal_per_entity`` that touch an entity at either end.
+
+    Duplicates go in one aggregation. The best edges that say little are folded on the
+    driver, a bounded page of candidates at a time: one that is passed over touches an
+    entity that is full, and stays so, so a page leaves out all of these."""
+    evidence = F.coalesce("evidence_chunk_id", F.lit("")) if "evidence_chunk_id" in edges.columns else F.lit("")
+    seeded = F.col("_from").isin(seeds).cast("int") + F.col("_to").isin(seeds).cast("int")
+    ranked = edges.withColumns({"_score": relation_score(boosts), "_seeded": seeded, "_evidence": evidence, "_low": F.upper("relation_type").isin(*LOW_SIGNAL)})
+    order = [F.desc("_score"), F.desc("_seeded"), F.desc(F.col("_evidence") != ""), F.lower("_from"), F.lower("relation_type"), F.lower("_to"), "_evidence", "_from", "relation_type", "_to", *[F.col(c) for c in ("_key",) if c in edges.columns]]
+    same = ["_from", "relation_type", "_to", F.when(F.col("_low"), F.col("_evidence"))]
     from pyspark.sql import Window
 
-    score = relation_score()
-    for relation, boost in (boosts or {}).items():
-        score = score + F.when(F.col("relation_type") == relation, F.lit(float(boost))).otherwise(F.lit(0.0))
-    seeded = F.col("_from").isin(seeds) | F.col("_to").isin(seeds)
-    evidence = F.col("evidence").isNotNull() if "evidence" in edges.columns else F.lit(False)
-    order = [F.desc("_score"), F.desc("_seeded"), F.desc("_evidence"), "_from", "relation_type", "_to"]
-    ranked = edges.withColumn("_score", score).withColumn("_seeded", seeded).withColumn("_evidence", evidence).withColumn("_low", F.upper("relation_type").isin(*LOW_SIGNAL))
-    if low_signal_per_entity is not None:
-        nth = F.row_number().over(Window.partitionBy("_low", "_from").orderBy(*order))
-        ranked = ranked.withColumn("_nth", nth).filter(~F.col("_low") | (F.col("_nth") <= low_signal_per_entity)).drop("_nth")
-    if low_signal_limit is not None:
-        low = ranked.filter("_low").orderBy(*order).limit(low_signal_limit)
-        ranked = ranked.filter(~F.col("_low")).unionByName(low)
-    return ranked.orderBy(*order).limit(limit).drop("_seeded", "_evidence", "_low")
+    first = F.row_number().over(Window.partitionBy(*same).orderBy(*order))
+    ranked = ranked.withColumn("_nth", first).filter("_nth = 1").drop("_nth")
+    low, chosen, page = ranked.filter("_low"), [], max(64, 8 * low_signal_limit)
+    touched: dict[str, int] = {}
+    taken: set[tuple] = set()
+    while len(chosen) < min(low_signal_limit, limit):
+        full = [e for e, n in touched.items() if n >= low_signal_per_entity]
+        left = low.filter(~F.col("_from").isin(full) & ~F.col("_to").isin(full)) if full else low
+        rows = [r for r in left.orderBy(*order).limit(page + len(chosen)).collect() if (r["_from"], r["relation_type"], r["_to"], r["_evidence"]) not in taken]
+        before = len(chosen)
+        for r in rows:
+            ends = (r["_from"], r["_to"])
+            if len(chosen) < low_signal_limit and all(touched.get(e, 0) < low_signal_per_entity for e in ends):
+                chosen.append(r)
+                taken.add((*ends[:1], r["relation_type"], ends[1], r["_evidence"]))
+                for e in ends:
+                    touched[e] = touched.get(e, 0) + 1
+        if len(chosen) == before or len(rows) < page:
+            break
+    best = ranked.filter(~F.col("_low")).orderBy(*order).limit(limit)
+    if chosen:
+        best = best.unionByName(edges.sparkSession.createDataFrame(chosen, ranked.schema))
+    return best.orderBy(*order).limit(limit).drop("_seeded", "_evidence", "_low")
