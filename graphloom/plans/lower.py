@@ -55,9 +55,26 @@ class State:
     paths: dict[tuple[str, tuple[str, ...]], Val] = field(default_factory=dict)
 
 
+def only_source(clauses: list, i: int, q: A.Query) -> A.Let | None:
+    """The clause, if it is a LET with a subquery that takes nothing from outside and
+    whose variable only one FOR of the same query uses, as its source."""
+    let = clauses[i]
+    if not isinstance(let, A.Let) or not isinstance(let.value, A.Subquery) or let.value.query.distinct:
+        return None
+    names = {c.var for c in clauses[:i] if isinstance(c, A.For | A.Let)} | {n for c in clauses[:i] if isinstance(c, A.ForVector | A.ForTraversal) for n in (getattr(c, "var", None), getattr(c, "vertex", None), getattr(c, "edge", None), getattr(c, "path", None)) if n}
+    if names or free_names(let.value.query) & {let.var}:
+        return None
+    if q.collect and q.collect.into and q.collect.into_value is None:  # INTO takes every variable
+        return None
+    uses = sum(isinstance(n, A.Name) and n.name == let.var for e in expressions(q) for n in deep(e))
+    sources = [c for c in clauses[i + 1 :] if isinstance(c, A.For) and c.source == A.Name(let.var)]
+    return let if uses == len(sources) == 1 else None
+
+
 class Lowering:
     def __init__(self, catalog: Catalog, binds: dict, strict: bool = False, ordered: bool = False):
         self.catalog, self.binds, self.strict, self.ordered = catalog, binds, strict, ordered
+        self.inlined: dict[tuple[str, int], A.Query] = {}
 
     # -- whole queries -----------------------------------------------------
 
@@ -88,10 +105,10 @@ class Lowering:
             if keys is None:
                 df = df.withColumn("_j", F.to_json(F.struct(*names)))
                 keys = ["_j"]
-            if sorted_ and order:
-                if any(o.down for o in order):  # one ascending number in place of the keys
-                    df = df.withColumn("_o0", F.row_number().over(Window.orderBy(*[o.key for o in order])))
-                    order = [Order(F.col("_o0"))]
+            if sorted_ and any(o.down for o in order):  # the first row of each value, then a distributed sort
+                first = F.row_number().over(Window.partitionBy(*keys).orderBy(*[o.key for o in order]))
+                df = df.withColumn("_n", first).filter("_n = 1").orderBy(*[o.key for o in order])
+            elif sorted_ and order:
                 place = F.struct(*[o.col for o in order])
                 first = [F.min_by(n, place).alias(n) for n in names if n not in keys]
                 df = df.groupBy(*keys).agg(F.min(place).alias("_o"), *first).orderBy("_o")
@@ -105,7 +122,12 @@ class Lowering:
         """All clauses but RETURN."""
         now, later = deferred(q)
         for i, clause in enumerate(now):
+            if source := only_source(now, i, q):
+                self.inlined[source.var, id(q)] = source.value.query
+                continue
             match clause:
+                case A.For(var=var, source=A.Name(name=name)) if (name, id(q)) in self.inlined:
+                    state = self.for_rows(state, var, self.inlined.pop((name, id(q))))
                 case A.For(var=var, source=source):
                     state = self.for_in(state, var, source)
                 case A.ForVector():
@@ -161,6 +183,17 @@ class Lowering:
         df = state.df.select("*", F.posexplode(value.col if not isinstance(element, T.NullType) else value.col.cast("array<double>")).alias(place, item))
         return replace(state, df=df, scope={**state.scope, var: Val(F.col(item), DOUBLE if isinstance(element, T.NullType) else element)}, order=[*state.order, Order(F.col(place))])
 
+    def for_rows(self, state: State, var: str, q: A.Query) -> State:
+        """FOR over the rows of a subquery that nothing else uses: its frame itself, not
+        an array of all rows in one."""
+        inner = self.body(State(self.catalog.spark.range(1).select()), q)
+        v = plain_if_null(self.expr(inner, q.result))
+        item, places = fresh(var), [fresh("p") for _ in inner.order]
+        rows = inner.df.select(v.col.alias(item), *[o.col.alias(p) for o, p in zip(inner.order, places, strict=True)])
+        frame = rows if not state.df.columns and not state.scope else state.df.crossJoin(rows)
+        order = [Order(F.col(p), o.down) for p, o in zip(places, inner.order, strict=True)]
+        return replace(state, df=frame, scope={**state.scope, var: Val(F.col(item), v.type)}, order=[*state.order, *order])
+
     def for_vector(self, state: State, c: A.ForVector, q: A.Query) -> State:
         vector = self.binds[c.vector.name] if isinstance(c.vector, A.Bind) else [i.value for i in c.vector.items]
         if not isinstance(vector, list | tuple) or not all(isinstance(x, int | float) and not isinstance(x, bool) for x in vector):

@@ -299,5 +299,28 @@ def test_top_k_of_every_customer(spark, tmp_path):
     orders = [(i, i % 301, float(i * 37 % 101)) for i in range(900) if i % 301 != 250]
     spark.range(301).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
-    got = {r["c"]: list(r["top"]) for r in QUERIES["subquery_top_k_all"](spark, str(tmp_path)).collect()}
+    got = {r["c"]: list(r["top"]) for r in QUERIES["subquery_top_k"](spark, str(tmp_path)).collect()}
     assert got == {c: [k for _, k in sorted((-p, k) for k, o, p in orders if o == c)[:2]] for c in range(301)}
+
+
+def test_a_subquery_that_only_feeds_a_loop_is_no_array(spark):
+    from graphloom.engine import Engine
+
+    engine = Engine(spark)
+    engine.register("n", spark.range(100).selectExpr("id AS k", "id % 10 AS g"), "k")
+    df = engine.query("LET some = (FOR x IN n COLLECT g = x.g WITH COUNT INTO c RETURN {g, c}) FOR b IN some FILTER b.g > 6 RETURN {g: b.g, c: b.c}")
+    assert sorted(tuple(r) for r in df.collect()) == [(7, 10), (8, 10), (9, 10)]
+    assert "collect_list" not in df._jdf.queryExecution().toString()
+    assert engine.rows("LET some = (FOR x IN n FILTER x.k < 20 SORT x.k DESC LIMIT 3 RETURN x.k) FOR b IN some RETURN b") == [19, 18, 17]
+    both = engine.rows("LET some = (FOR x IN n FILTER x.k < 3 RETURN x.k) FOR b IN some RETURN {b, n: LENGTH(some)}")
+    assert sorted((r["b"], r["n"]) for r in both) == [(0, 3), (1, 3), (2, 3)]
+
+
+def test_distinct_in_descending_order_has_no_single_window(spark):
+    from graphloom.engine import Engine
+
+    engine = Engine(spark)
+    engine.register("n", spark.range(100).selectExpr("id AS k", "id % 3 AS g"), "k")
+    text = "FOR x IN n SORT x.k DESC RETURN DISTINCT x.g"
+    assert engine.rows(text) == [0, 2, 1]
+    assert "windowspecdefinition(k" not in engine.query(text)._jdf.queryExecution().optimizedPlan().toString()
