@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -82,11 +83,12 @@ class Space:
             new = [(t, n["id"], n.get("reviewed_by")) for n in hints for t in n.get("triggers", ()) if t not in r.when_any]
             rules.append(replace(r, when_any=tuple(dict.fromkeys([*r.when_any, *(t for t, _, _ in new)])), licences=(*r.licences, *new)))
         known = {(r.source, r.relation, r.target) for r in rules}
+        new_rules: dict[tuple, list[tuple]] = {}
         for n in accepted:
             triple = (n.get("source"), n.get("relation"), n.get("target"))
             if n["type"] == "relation_hint" and triple not in known:
-                rules.append(Rule(*triple, tuple(n.get("triggers", ())), (), tuple((t, n["id"], n.get("reviewed_by")) for t in n.get("triggers", ()))))
-                known.add(triple)
+                new_rules.setdefault(triple, []).extend((t, n["id"], n.get("reviewed_by")) for t in n.get("triggers", ()))
+        rules += [Rule(*triple, tuple(dict.fromkeys(t for t, _, _ in signed)), (), tuple(signed)) for triple, signed in new_rules.items()]
         vetoes = tuple(Veto(n["source"], n["relation"], n["target"], tuple(n.get("triggers", ()))) for n in accepted if n["type"] == "relation_blocker")
         return Space(self.id, tuple(entities), tuple(rules), (*self.vetoes, *vetoes))
 
@@ -177,12 +179,32 @@ def prepare(docs: DataFrame, max_chunk_bytes: int = 2000, skip_bad: bool = False
 # -- grounding ---------------------------------------------------------------------
 
 
-def negated(text: str, at: int) -> bool:
-    """Whether a negation stands before a place, in the same clause."""
-    begin = 0
-    for m in CLAUSE_END.finditer(text, 0, at):
-        begin = m.end()
-    return any(t in NEGATIONS or t.endswith("n't") for t in TOKEN.findall(text[begin:at]))
+class Clauses:
+    """Where the clauses of a text begin and which words negate, found once."""
+
+    def __init__(self, text: str):
+        self.begins = [0, *(m.end() for m in CLAUSE_END.finditer(text))]
+        self.negations = [m.end() for m in TOKEN.finditer(text) if m.group() in NEGATIONS or m.group().endswith("n't")]
+        self.text = text
+
+    def negated(self, at: int) -> bool:
+        """Whether a negation stands before a place, in the same clause."""
+        begin = self.begins[bisect_right(self.begins, at) - 1]
+        n = bisect_right(self.negations, at)
+        if n and self.negations[n - 1] > begin:
+            return True
+        # a word that the place cuts is read up to there
+        m = re.search(r"[A-Za-z0-9']+$", self.text[max(begin, at - 16) : at])
+        return bool(m) and (m.group() in NEGATIONS or m.group().endswith("n't"))
+
+
+def affirmed(folded: str, phrase: str, clauses: Clauses) -> Iterator[int]:
+    """Places of a phrase (in lower case) that no negation precedes in its clause."""
+    at = folded.find(phrase) if phrase else -1
+    while at >= 0:
+        if not clauses.negated(at):
+            yield at
+        at = folded.find(phrase, at + 1)
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -201,6 +223,12 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [*out, (begin, len(text))] if begin < len(text) else out
 
 
+def sentence_at(bounds: list[tuple[int, int]], at: int, end: int) -> tuple[int, int]:
+    """The sentence that holds a place, or all of the text."""
+    i = bisect_right(bounds, (at, end + 1)) - 1
+    return bounds[i] if i >= 0 and bounds[i][0] <= at < bounds[i][1] else (0, end)
+
+
 def original_bytes(text: str, folded_at: int) -> int:
     """Byte offset in ``text`` of a place in ``text.lower()``."""
     folded = size = 0
@@ -230,6 +258,7 @@ def ground_text(text: str, space: Space) -> list[tuple]:
     folded = text.lower()
     surfaces = {e.name: e.surfaces() for e in space.entities}
     bounds: list[tuple[int, int]] | None = None
+    clauses: Clauses | None = None
     out = []
     for rule in space.rules:
         triple = (rule.source, rule.relation, rule.target)
@@ -240,17 +269,18 @@ def ground_text(text: str, space: Space) -> list[tuple]:
         for phrase in rule.when_any:
             for trigger in expansions(phrase, rule, surfaces):
                 low = trigger.lower()
-                at = folded.find(low) if low else -1
-                while at >= 0:
-                    fine = not negated(folded, at)
-                    if fine and needed:
+                if not low or low not in folded:
+                    continue
+                clauses = clauses or Clauses(folded)
+                for at in affirmed(folded, low, clauses):
+                    fine = True
+                    if needed:
                         bounds = sentences(folded) if bounds is None else bounds
-                        a, b = next((s for s in bounds if s[0] <= at < s[1]), (0, len(folded)))
+                        a, b = sentence_at(bounds, at, len(folded))
                         fine = all(any(s in folded[a:b] for s in some) for some in needed)
                     if fine:
                         found = (trigger, at, at + len(low), phrase)
                         break
-                    at = folded.find(low, at + 1)
                 if found:
                     break
             if found:
@@ -411,6 +441,107 @@ def ablate(chunks: DataFrame, space: Space, neurons: list[dict]) -> DataFrame:
     return out.select(*columns)
 
 
+def triples_of(facts: DataFrame) -> DataFrame:
+    return facts.select("source", "relation", "target").distinct()
+
+
+def _specified(spark, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def blocker_report(chunks: DataFrame, space: Space, neurons: list[dict], forbidden: list[tuple[str, str, str]]) -> DataFrame:
+    """``source, relation, target, status, attributed_to`` of each forbidden fact:
+    ``never_fired`` without blockers, ``suppressed`` by them, or ``still_violated``;
+    with the blockers that name it."""
+    whole, triple = space.with_neurons(neurons), ["source", "relation", "target"]
+    open_ = triples_of(ground(chunks, replace(whole, vetoes=()))).withColumn("open", F.lit(True))
+    shut = triples_of(ground(chunks, whole)).withColumn("shut", F.lit(True))
+    rows = [(*f, [n["id"] for n in neurons if n["type"] == "relation_blocker" and (n.get("source"), n.get("relation"), n.get("target")) == tuple(f)]) for f in dict.fromkeys(map(tuple, forbidden))]
+    spec = _specified(chunks.sparkSession, rows, "source string, relation string, target string, attributed_to array<string>")
+    status = F.when(F.col("open").isNull(), "never_fired").when(F.col("shut").isNull(), "suppressed").otherwise("still_violated")
+    return spec.join(open_, triple, "left").join(shut, triple, "left").select(*triple, status.alias("status"), "attributed_to")
+
+
+def graduation_report(chunks: DataFrame, space: Space, neurons: list[dict]) -> DataFrame:
+    """``neuron_id, source, relation, target, reason`` of accepted neurons that the
+    corpus doesn't need: a hint whose fact grounds without it (``covered_by_base`` or
+    ``covered_by_others``), a blocker whose fact doesn't (``inert_blocker``)."""
+    spark, triple = chunks.sparkSession, ["source", "relation", "target"]
+    accepted = sorted((n for n in neurons if n.get("status") == "accepted"), key=lambda n: n["id"])
+    base = triples_of(ground(chunks, replace(space, vetoes=()))).withColumn("base", F.lit(True))
+    schema = "neuron_id string, source string, relation string, target string, kind string"
+    out = _specified(spark, [], f"{schema.rsplit(',', 1)[0]}, reason string")
+    for n in accepted:
+        if n["type"] not in ("relation_hint", "relation_blocker"):
+            continue
+        one = _specified(spark, [(n["id"], n["source"], n["relation"], n["target"], n["type"])], schema)
+        without = triples_of(ground(chunks, space.with_neurons([m for m in accepted if m is not n]))).withColumn("there", F.lit(True))
+        found = one.join(without, triple, "left").join(base, triple, "left")
+        reason = F.when(F.col("kind") == "relation_blocker", F.when(F.col("there").isNull(), F.lit("inert_blocker"))).when(F.col("there"), F.when(F.col("base"), F.lit("covered_by_base")).otherwise(F.lit("covered_by_others")))
+        out = out.unionByName(found.select("neuron_id", *triple, reason.alias("reason")).filter("reason is not null"))
+    return out
+
+
+def degradation_report(chunks: DataFrame, space: Space, neurons: list[dict]) -> DataFrame:
+    """``id, kind, source, relation, target, dead_triggers``: rules (``rule:0``, ...) and
+    accepted hints none of whose triggers is affirmed in any chunk. One pass over the
+    corpus looks for the triggers of all."""
+    spark = chunks.sparkSession
+    ways = [(f"rule:{i}", "base_rule", r.source, r.relation, r.target, list(r.when_any)) for i, r in enumerate(space.rules)]
+    ways += [(n["id"], "neuron", n["source"], n["relation"], n["target"], list(n.get("triggers", ()))) for n in neurons if n.get("status") == "accepted" and n["type"] == "relation_hint"]
+    ways = [w for w in ways if w[5]]
+    phrases = sorted({p for w in ways for p in w[5]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alive: set[str] = set()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                folded = (text or "").lower()
+                open_ = [p for p in phrases if p not in alive and p.lower() in folded]
+                if open_:
+                    clauses = Clauses(folded)
+                    alive |= {p for p in open_ if next(affirmed(folded, p.lower(), clauses), None) is not None}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(alive), pa.string())], names=["phrase"])
+
+    alive = chunks.select("text").mapInArrow(run, "phrase string").distinct()
+    spec = _specified(spark, ways, "id string, kind string, source string, relation string, target string, dead_triggers array<string>")
+    fires = spec.select("id", F.explode("dead_triggers").alias("phrase")).join(alive, "phrase").select("id").distinct()
+    return spec.join(fires, "id", "left_anti")
+
+
+#: Words that carry no meaning in a relation's name. Fixed values.
+RELATION_STOPWORDS = ("of", "to", "in", "with", "for", "by", "on", "at", "as", "the", "a", "an", "is", "are", "has", "have", "be", "and", "or", "from", "into")
+
+
+def semantic_signals(facts: DataFrame, entities: tuple[Entity, ...]) -> DataFrame:
+    """``facts`` (with ``source``, ``relation``, ``target``, ``sentence``) with ``signals``:
+    reasons to doubt that the sentence asserts the fact. It doesn't name the target; it
+    only lists both ends next to each other; no word of the relation's name, cut to
+    its stem, occurs. JVM-side; the entities are configuration."""
+    folded = F.lower("sentence")
+    catalog = F.create_map(*[x for e in entities for x in (F.lit(e.name), F.array(*map(F.lit, dict.fromkeys(s.lower() for s in e.surfaces() if s.strip()))))]) if entities else None
+
+    def surfaces(name: str) -> Column:
+        own = F.array(F.lower(name))
+        found = F.coalesce(F.try_element_at(catalog, F.col(name)), own) if catalog is not None else own
+        return F.filter(found, lambda s: F.trim(s) != "")
+
+    def adjacent(a: Column, b: Column) -> Column:
+        """Whether the first ``a`` is followed by ``b`` with only a separator between."""
+        after = F.substr(folded, F.instr(folded, a) + F.length(a))
+        between = F.substr(after, F.lit(1), F.instr(after, b) - 1)
+        between = F.regexp_replace(between, r"^[\s,;]+|[\s,;]+$", "")
+        return (F.instr(folded, a) > 0) & (F.instr(after, b) > 0) & between.isin("", "and", "or", "and/or")
+
+    named = F.exists(surfaces("target"), lambda s: F.contains(folded, s))
+    beside = F.exists(surfaces("source"), lambda a: F.exists(surfaces("target"), lambda b: adjacent(a, b) | adjacent(b, a)))
+    words = F.filter(F.split(F.lower("relation"), r"[_\s]+"), lambda w: (w != "") & ~w.isin(*RELATION_STOPWORDS))
+    stem = lambda w: F.substr(w, F.lit(1), F.least(F.greatest(F.length(w) - 3, F.lit(4)), F.length(w)))
+    silent = (F.size(words) > 0) & ~F.exists(words, lambda w: F.contains(folded, stem(w)))
+    signals = [F.when(~named, "target absent from the licensing sentence"), F.when(beside, "endpoints merely co-listed, not related"), F.when(silent, "sentence never uses the relation's vocabulary")]
+    return facts.withColumn("signals", F.filter(F.array(*signals), lambda x: x.isNotNull()))
+
+
 def gaps(views: DataFrame, space: Space, facts: DataFrame, min_support: int = 1) -> DataFrame:
     """``source, relation, target, support``: pairs of entities that side views
     (``id``, ``text``) mention together, that exactly one rule allows by its types of

@@ -57,16 +57,21 @@ def index_key(df: DataFrame, fields: list[str]):
     return F.to_json(F.struct(*[p.alias(f"f{i}") for i, p in enumerate(parts)]), {"ignoreNullFields": "false"}), parts
 
 
+def duplicates(df: DataFrame, fields: list[str], sparse: bool = False) -> DataFrame:
+    """``k, n``: values of the fields (as JSON) that several documents have. With
+    ``sparse``, documents without one of the fields don't count."""
+    key, parts = index_key(df, fields)
+    if sparse:
+        for p in parts:
+            df = df.filter(p.isNotNull())
+    return df.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
 def check_unique(indexes: dict[str, dict], df: DataFrame, name: str) -> None:
     for label, index in indexes.items():
         if not index.get("unique"):
             continue
-        key, parts = index_key(df, index["fields"])
-        some = df
-        if index.get("sparse"):
-            for p in parts:
-                some = some.filter(p.isNotNull())
-        twice = some.groupBy(key.alias("k")).count().filter("count > 1").first()
+        twice = duplicates(df, index["fields"], index.get("sparse", False)).first()
         if twice:
             raise UniqueViolation(f"{name}: index {label} has {twice['k']} twice")
 

@@ -98,3 +98,49 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame([("a", "Cog"), ("b", text)], "id string, text string").write.mode("append").parquet(source)
     graph = incremental.load(spark, str(tmp_path / "graph"))
     assert graph["chunks"].count() == 2
+
+
+def test_negation_is_read_up_to_the_place():
+    text = "it is not so, but never mind: cannot do; can't do. fine"
+    clauses = C.Clauses(text)
+
+    def slowly(at):
+        begin = max([0, *(m.end() for m in C.CLAUSE_END.finditer(text, 0, at))])
+        return any(t in C.NEGATIONS or t.endswith("n't") for t in C.TOKEN.findall(text[begin:at]))
+
+    assert [clauses.negated(at) for at in range(len(text) + 1)] == [slowly(at) for at in range(len(text) + 1)]
+
+
+def test_many_triggers_in_one_text():
+    import time
+
+    took = []
+    for many in (2000, 16_000):
+        began = time.process_time()
+        assert facts("never makes bolts " * many) == []
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.5
+
+
+def test_hints_of_one_new_fact_all_count():
+    hints = [{"id": i, "type": "relation_hint", "status": "accepted", "source": "Acme", "relation": "NEW", "target": "Cog", "triggers": [t]} for i, t in (("a", "adds"), ("b", "mends"))]
+    space = SPACE.with_neurons(hints)
+    assert [C.ground_text(f"It {t} cogs", space)[0][6] for t in ("adds", "mends")] == ["a", "b"]
+
+
+def test_versions_go_on_and_replays_are_passed_over(spark, tmp_path):
+    from graphloom.streaming import incremental
+
+    folder, source = str(tmp_path / "graph"), str(tmp_path / "in")
+    spark.createDataFrame([("a", "Acme makes bolts")], "id string, text string").write.parquet(source)
+    stream = spark.readStream.schema("id string, text string").parquet(source)
+    incremental.follow(stream, SPACE, folder, str(tmp_path / "one")).awaitTermination()
+    spark.createDataFrame([("b", "Acme makes bolts")], "id string, text string").write.mode("append").parquet(source)
+    incremental.follow(stream, SPACE, folder, str(tmp_path / "two")).awaitTermination()  # a new checkpoint
+    graph = incremental.load(spark, folder)
+    assert incremental.versions(spark, folder) == ([0, 1], [0, 1]) and graph["chunks"].count() == 2
+    incremental.store(spark, graph, folder, str(tmp_path / "two"), 7)
+    spark.createDataFrame([("c", "Cog")], "id string, text string").write.mode("append").parquet(source)
+    incremental.follow(stream, SPACE, folder, str(tmp_path / "two")).awaitTermination()  # batch 1: before 7
+    assert incremental.load(spark, folder)["chunks"].count() == 2
+    assert incremental.versions(spark, folder)[1] == [0, 1, 2]
