@@ -14,10 +14,14 @@ one minimizer form a run that needs only one row. Per document there are about
    sends one text for each gram (with a count), packed by bucket, so a frequent
    gram costs an entry for each batch. Only runs of such grams go on, with the
    slice of text that they cover.
-4. A resolver decides each window inside its gram's group. A gram with over
-   ``hot`` rows is split by the window's offset to the gram into bands, as
-   only windows at equal offsets can be equal; each row sends each band only
-   the bytes it needs.
+4. A resolver decides each window inside its gram's group. The group of a gram
+   that over ``hot`` texts have is split by the window's offset to the gram into
+   bands, as only windows at equal offsets can be equal, and each band by a longer
+   key: all the units around the gram that every window of the band has. What is
+   left together are near copies of one passage, dealt by text into parts of about
+   ``hot`` rows. A part settles all but the first of equal windows (the first two,
+   where any other one counts), and what is left of the parts meets again: at most
+   that many rows a part, however many copies there are.
 5. Covered windows return to their documents.
 
 Hashes are 64-bit polynomials with fixed odd base over a seeded random table;
@@ -27,6 +31,7 @@ with a chance of about 2**-64.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +42,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, lists, partitions, saved, small_batches
 
 U64 = np.uint64
+SALTS = 16  # parts into which the texts of a hot gram are dealt in a join
 CHUNK = 1 << 20  # units hashed at once; longer documents go in overlapping chunks
 _LOW = U64(CHUNK * 2 - 1)
 _BASE = 0x9E3779B97F4A7C15
@@ -230,12 +236,13 @@ def _index(unit: str, window: int, k: int, keep_first: bool, buckets: int) -> Ca
     return run
 
 
-SHARED = "g long, h long, hot boolean"
+SHARED = "g long, h long, many long"
 
 
-def _shared(hot: int) -> Callable:
+def _shared() -> Callable:
     """Grams that two texts or more have, one of them new, from rows sorted by bucket,
-    with the text that stood for each batch; a bucket is held at a time."""
+    with the text that stood for each batch and how many texts (a text for each batch
+    that has it) there are; a bucket is held at a time."""
 
     def found(packed: list[bytes], news: list[bool]) -> pa.RecordBatch:
         seen = np.frombuffer(b"".join(packed), SEEN)
@@ -249,7 +256,7 @@ def _shared(hot: int) -> Callable:
         several &= np.maximum.reduceat(new, at)
         keep = np.repeat(several, size)
         total = np.repeat(np.add.reduceat(seen["many"].astype(np.int64), at), size)
-        return pa.RecordBatch.from_arrays([pa.array(g[keep]), pa.array(h[keep]), pa.array(total[keep] > hot)], names=["g", "h", "hot"])
+        return pa.RecordBatch.from_arrays([pa.array(g[keep]), pa.array(h[keep]), pa.array(total[keep])], names=["g", "h", "many"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, news = None, [], []
@@ -268,44 +275,112 @@ def _shared(hot: int) -> Callable:
 
 
 CONTEXT = "g long, band int, doc_id long, h long, first int, slice binary"
+RANGES = "doc_id long, h long, lo int, hi int"
+#: Ranges, and slices of what a part of a hot group leaves open.
+FIRST = RANGES + ", g long, band int, first int, slice binary"
+
+
+def common_key(x: np.ndarray, gram: int, least: int, band: int, window: int, k: int) -> int:
+    """Hash of the units that all windows have whose offset to the gram at ``gram`` is
+    ``least`` or up to ``band - 1`` more. Signed."""
+    most = min(least + band - 1, window - k)
+    return int(mixed(prefix_hash(x[gram - least : gram - most + window])[-1:]).view(np.int64)[0])
 
 
 def _slices(unit: str, window: int, k: int, keep_first: bool, hot_band: int) -> Callable:
-    """Cut the text that each run of a shared gram covers; hot runs are cut again
-    by band. Runs are found anew, which costs less than carrying them."""
+    """Cut the text that each run of a shared gram covers; hot runs are cut again by
+    band, with a key of what the windows of a band have in common, and dealt into
+    parts. Runs are found anew, which costs less than carrying them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gs, bands, ids, hs, firsts, cut = [], [], [], [], [], []
-            for doc, h, text, shared, hots in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), as_bytes(batch.column("text")), batch.column("shared"), batch.column("hots"), strict=True):
+            gs, bands, ids, hs, firsts, cut, parts = [], [], [], [], [], [], []
+            spread = mixed(batch.column("h").to_numpy().view(U64)).tolist()
+            for doc, h, deal, text, shared, hots in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), spread, as_bytes(batch.column("text")), batch.column("shared"), batch.column("hots").to_pylist(), strict=True):
                 if unit == "word":
                     starts, ends = word_bounds(text)
-                (g, first, count, offset), _, _ = runs_and_repeats(UNITS[unit](text), window, k, keep_first)
+                x = UNITS[unit](text)
+                (g, first, count, offset), _, _ = runs_and_repeats(x, window, k, keep_first)
                 g = g.view(np.int64)
-                hot = np.isin(g, hots.values.to_numpy())
+                hot = {r["g"]: r["parts"] for r in hots}
                 for i in np.flatnonzero(np.isin(g, shared.values.to_numpy())).tolist():
-                    pieces = [(0, int(first[i]), int(count[i]))]
-                    if hot[i]:  # offset falls by one from window to window
+                    gram = int(g[i])
+                    pieces, part = [(gram, 0, int(first[i]), int(count[i]))], 0
+                    if gram in hot:  # offset falls by one from window to window
                         pieces, a, many, off = [], 0, int(count[i]), int(offset[i])
+                        part = deal % hot[gram]
                         while a < many:
                             band = (off - a) // hot_band
                             b = min(many, off - band * hot_band + 1)
-                            pieces.append((band + 1, int(first[i]) + a, b - a))
+                            pieces.append((common_key(x, int(first[i]) + off, band * hot_band, hot_band, window, k), band + 1, int(first[i]) + a, b - a))
                             a = b
-                    for band, at, many in pieces:
+                    for key, band, at, many in pieces:
                         last = at + many - 1 + window
-                        gs.append(int(g[i]))
+                        gs.append(key)
                         bands.append(band)
                         ids.append(doc)
                         hs.append(h)
                         firsts.append(at)
                         cut.append(text[at:last] if unit == "byte" else text[int(starts[at]) : int(ends[last - 1])])
-            yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array(bands, pa.int32()), pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(firsts, pa.int32()), pa.array(cut, pa.binary())], names=["g", "band", "doc_id", "h", "first", "slice"])
+                        parts.append(part)
+            yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array(bands, pa.int32()), pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(firsts, pa.int32()), pa.array(cut, pa.binary()), pa.array(parts, pa.int32())], names=["g", "band", "doc_id", "h", "first", "slice", "part"])
 
     return run
 
 
-RANGES = "doc_id long, h long, lo int, hi int"
+def ranks(keys: np.ndarray) -> np.ndarray:
+    """How many equal keys stand before each."""
+    order = np.argsort(keys, kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])[: len(keys)])
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.arange(len(keys)) - np.repeat(edge, np.diff(np.append(edge, len(keys))))
+    return out
+
+
+def _first_pass(unit: str, window: int, keep_first: bool, resolver: Callable) -> Callable:
+    """:data:`FIRST` from slices, those of hot groups last: the resolver's ranges of the
+    others; in a part of a hot group, a window with one equal one before it (two, if not
+    ``keep_first``) is covered, and all others are left open."""
+    names, kinds = [x.split()[0] for x in FIRST.split(", ")], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    most = 1 if keep_first else 2
+
+    def rows(**columns: pa.Array) -> pa.RecordBatch:
+        n = len(columns["doc_id"])
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in zip(names, kinds, strict=True)], names=names)
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, open_group = np.zeros(0, U64), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b = Slices(batch, unit, window)
+            if open_group != b.group(last=False):
+                seen = seen[:0]
+            rank = ranks(np.concatenate([seen, b.keys]))[len(seen) :]
+            open_group = b.group(last=True)
+            ends = b.keys[b.tail :][rank[b.tail :] < most]
+            seen = np.concatenate([seen, ends]) if b.tail == 0 else ends
+            found = b.ranges(rank >= most)
+            yield rows(**dict(zip(found.schema.names, found.columns, strict=True)))
+            left = b.left(rank < most)
+            yield rows(**dict(zip(left.schema.names, left.columns, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+
+        def others() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = int(np.count_nonzero(batch.column("band").to_numpy() == 0))
+                yield batch.slice(0, n)
+                if n < batch.num_rows:
+                    rest.append(batch.slice(n))
+                    return
+
+        for found in resolver(others()):
+            yield rows(**dict(zip(found.schema.names, found.columns, strict=True)))
+        yield from thinned(itertools.chain(rest, batches))
+
+    return run
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -349,18 +424,22 @@ def ranges_of(index: DataFrame, docs: DataFrame, older: DataFrame | None, unit:
     copies = rows.select("doc_id", "h", "n").join(groups.filter("copies > 1 and new").drop("new"), ["h", "n"]).filter("n >= %d" % window)
     removed = copies.filter("doc_id <> least") if keep_first else copies
 
-    known = saved(seen.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(hot), SHARED), "shared")
+    known = saved(seen.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(), SHARED), "shared")
     if older is not None:  # of the grams that older batches shared, those that come again
         before = older.filter("grams is not null").select(F.explode("grams").alias("g"), "h")
         local = local.unionByName(before.join(known.select("g").distinct(), "g", "left_semi"))
-    often = known.filter("hot").select("g").distinct().withColumn("hot", F.lit(True))
-    hits = known.select("g", "h").unionByName(local).join(often, "g", "left")
-    hits = hits.groupBy("h").agg(F.collect_set("g").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("g"))).alias("hots"))
+    often = known.filter(F.col("many") > hot).select("g", F.ceil(F.col("many") / hot).cast("int").alias("parts")).distinct()
+    often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = known.select("g", "h").unionByName(local).withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(often, ["g", "salt"], "left")
+    hits = hits.groupBy("h").agg(F.collect_set("g").alias("shared"), F.collect_set(F.when(F.col("parts").isNotNull(), F.struct("g", "parts"))).alias("hots"))
     hits = groups.select("h", F.col("least").alias("doc_id")).join(hits, "h")
     context = docs.join(hits, ["doc_id", "h"])  # all columns, as in covered_windows: one exchange of texts serves both joins
-    context = context.mapInArrow(_slices(unit, window, k, keep_first, hot_band or max(1, (window - k + 1) // 10)), CONTEXT)
-    context = context.repartition("g", "band").sortWithinPartitions("g", "band", "doc_id", "first")
-    ranges = context.mapInArrow(resolver, RANGES)
+    context = context.mapInArrow(_slices(unit, window, k, keep_first, hot_band or max(1, (window - k + 1) // 10)), CONTEXT + ", part int")
+    context = context.repartition("g", "band", "part").sortWithinPartitions(F.col("band") > 0, "g", "band", "doc_id", "first")
+    first = saved(context.mapInArrow(_first_pass(unit, window, keep_first, resolver), FIRST), "first")
+    left = first.filter("slice is not null").select("g", "band", "doc_id", "h", "first", "slice")
+    left = left.repartition("g", "band").sortWithinPartitions("g", "band", "doc_id", "first")
+    ranges = first.filter("slice is null").select("doc_id", "h", "lo", "hi").unionByName(left.mapInArrow(resolver, RANGES))
 
     own = each.filter(F.size("los") > 0).select("doc_id", "h", F.explode(F.arrays_zip("los", "his")).alias("r")).select("doc_id", "h", F.col("r.los").alias("lo"), F.col("r.his").alias("hi"))
     entire = removed.select("doc_id", "h", F.lit(0).alias("lo"), (F.col("n") - (window - 1)).cast("int").alias("hi"))
@@ -393,8 +472,11 @@ class Slices:
         text = glue.join(cut)
         self.x = UNITS[unit](text)
         bounds = np.cumsum([0, *(len(c) + len(glue) for c in cut)])
+        self.text, self.window = text, window
+        self.starts = self.ends = None
         if unit == "word":
-            bounds = np.searchsorted(word_bounds(text)[0], bounds)
+            self.starts, self.ends = word_bounds(text)
+            bounds = np.searchsorted(self.starts, bounds)
         self.at, self.end = bounds[:-1], bounds[1:]
         inside = np.zeros(len(self.x) + 1, np.int32)
         inside[self.at] += 1
@@ -411,15 +493,29 @@ class Slices:
         i = -1 if last else 0
         return int(self.g[i]), int(self.band[i])
 
-    def ranges(self, flags: np.ndarray) -> pa.RecordBatch:
-        """:data:`RANGES` of flagged windows."""
+    def spans(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of flagged windows, and the row that each is of."""
         all_flags = np.zeros(len(self.x), bool)
         all_flags[self.valid[flags]] = True
         lo, hi = spans(all_flags)
-        row = np.searchsorted(self.at, lo, "right") - 1
+        return lo, hi, np.searchsorted(self.at, lo, "right") - 1
+
+    def ranges(self, flags: np.ndarray) -> pa.RecordBatch:
+        """:data:`RANGES` of flagged windows."""
+        lo, hi, row = self.spans(flags)
         shift = self.first[row] - self.at[row]
         return range_batch(self.doc[row], self.h[row], lo + shift, hi + shift)
 
+    def left(self, flags: np.ndarray) -> pa.RecordBatch:
+        """:data:`CONTEXT` of flagged windows."""
+        lo, hi, row = self.spans(flags)
+        last = hi - 1 + self.window
+        a, b = (lo, last) if self.starts is None else (self.starts[lo], self.ends[last - 1])
+        cut = [self.text[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        first = (self.first[row] + lo - self.at[row]).astype(np.int32)
+        columns = {"g": pa.array(self.g[row]), "band": pa.array(self.band[row]), "doc_id": pa.array(self.doc[row]), "h": pa.array(self.h[row]), "first": pa.array(first), "slice": pa.array(cut, pa.binary())}
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
 
 def range_batch(doc: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(h, pa.int64()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["doc_id", "h", "lo", "hi"])

@@ -3,9 +3,9 @@
 A window of ``length`` words is removed if its words also start earlier (in a
 document with a smaller doc_id, or earlier in the same one). :mod:`repeats`
 splits the suffixes that can repeat into groups that fit in memory: by the
-window's minimizer, and for frequent ones by a longer key (minimizer and
-offset), as classic partitioned construction lengthens a prefix until its
-suffixes fit. A plain word prefix would put every word of the corpus into the
+window's minimizer, and for frequent ones by a longer key (offset, and the words
+around the minimizer that all windows at that offset have), as classic partitioned
+construction lengthens a prefix until its suffixes fit. A plain word prefix would put every word of the corpus into the
 shuffle; the minimizer puts about one in eight there, and only if it repeats.
 
 :func:`deep_nodes` grows the subtree of a batch top-down, with nodes at depths

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from graphloom.llm import byte_bpe, components, fingerprint, license_scan, log_suffix, packing, pivots, quality, simhash, suffix_tree, wavelet, word_bpe
+from graphloom.llm import byte_bpe, components, fingerprint, license_scan, log_suffix, packing, pivots, quality, repeats, simhash, suffix_tree, wavelet, word_bpe
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, ranges string, score string"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -357,6 +357,40 @@ def test_repeats_across_batches(spark, docs, rows):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_hot_passages_are_settled_in_parts(spark, monkeypatch, batch):
+    """A passage of many texts, within others that differ: equal to brute force, and a
+    part leaves one row (two for bytes) of a window to be compared with other parts."""
+    dice, passage = random.Random(4), " ".join(f"p{i}" for i in range(30))
+    rows = [(d, " ".join(f"x{dice.randrange(10**6)}" for _ in range(dice.randrange(9))) + f" {passage} " + " ".join(f"y{dice.randrange(10**6)}" for _ in range(dice.randrange(9)))) for d in range(200)]
+    docs, first, save = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), [], repeats.saved
+    monkeypatch.setattr(repeats, "saved", lambda df, name: first.append(save(df, name)) or first[-1] if name == "first" else save(df, name))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = by_id(suffix_tree.digest(docs, hot=3))
+        assert all(tuple(got[d])[1:] == want for d, want in kept_words(data(rows), 20))
+        got = by_id(log_suffix.digest(docs, length=60, gram=20, hot=3))
+        assert all(tuple(got[d])[1:] == want for d, want in removed_bytes(data(rows), 60))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for df in first:
+        left = df.filter("slice is not null")
+        assert 0 < left.count() and left.groupBy("g", "band").count().agg({"count": "max"}).first()[0] < 150
+
+
+def test_keys_of_hot_groups_hold_all_that_their_windows_share():
+    dice = np.random.default_rng(3)
+    x = dice.integers(0, 2**64, 400, dtype=np.uint64)
+    x[200:230] = x[100:130]  # windows equal, and their surroundings not
+    for offset in range(0, 16):
+        least = offset // 4 * 4
+        key = [repeats.common_key(x, at + offset, least, 4, 20, 5) for at in (105, 205, 305)]
+        assert key[0] == key[1] != key[2]
+    assert repeats.ranks(np.array([5, 3, 5, 5, 3], np.uint64)).tolist() == [0, 0, 1, 2, 1]
+    assert repeats.ranks(np.zeros(0, np.uint64)).tolist() == []
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(1, text), (1, text), (2, text), (None, "w1 w2")], "doc_id long, text string")
