@@ -116,8 +116,7 @@ class Engine:
         return traverse.neighbours(self.catalog[collection].df, vertex, direction)
 
     def traverse(self, edges: str, start: str, low: int = 1, high: int = 1, direction: str = "OUTBOUND", **options) -> DataFrame:
-        starts = self.spark.range(1).select(F.lit(start).alias("start"))
-        return traverse.traverse(self.catalog[edges].df, starts, low, high, direction, **options)
+        return traverse.traverse(self.catalog[edges].df, start, low, high, direction, **options)
 
     def upsert_edge(self, edges: str, source: str, target: str, relation: str, fields: dict | None = None) -> dict:
         found = self.catalog[edges].df.filter((F.col("_from") == source) & (F.col("_to") == target) & (F.col("relation_type") == relation)).select("_key").first()

@@ -1,8 +1,8 @@
 """Bounded graph traversal over simple paths, a join for each depth.
 
-The frontier carries ids, score and the edges asked for; documents of vertices
-are joined last. Depth is at most ten, so levels are unrolled and each is planned
-on its own.
+Paths carry ids, score and the edges asked for; documents of vertices are joined
+last. Depth is at most ten, so levels are unrolled: each join lengthens the longest
+paths and lets shorter ones that are results pass, so no level is evaluated twice.
 """
 
 from __future__ import annotations
@@ -48,31 +48,45 @@ def steps(edges: DataFrame, direction: str, fields: set[str] | None = None, min_
     return out.unionByName(back.filter("src <> dst"))
 
 
-def traverse(edges: DataFrame, starts: DataFrame, low: int = 1, high: int = 1, direction: str = "OUTBOUND", min_confidence: float | None = None, decay: float = DECAY, edge_fields: set[str] | None = None, keep_edges: bool = False, keep_vertices: bool = False, budget: int | None = None) -> DataFrame:
+def traverse(edges: DataFrame, starts: DataFrame | str, low: int = 1, high: int = 1, direction: str = "OUTBOUND", min_confidence: float | None = None, decay: float = DECAY, edge_fields: set[str] | None = None, keep_edges: bool = False, keep_vertices: bool = False, budget: int | None = None) -> DataFrame:
     """``start, id, ids, depth, score, edge`` and, if kept, ``edges``: every simple
-    path from each of ``starts`` (``start``, distinct) with ``low`` to ``high`` edges.
+    path from each of ``starts`` (``start``, distinct; or one id, which then filters the
+    scan of the first edges) with ``low`` to ``high`` edges.
 
     ``score`` is the product of confidences times ``decay`` to the power of depth.
     ``budget``: raise if a start has more paths (this runs a job)."""
     fields = None if keep_edges else edge_fields
     walk = steps(edges, direction, fields, min_confidence)
     edge_type = walk.schema["edge"].dataType
-    level = starts.select("start", F.col("start").alias("id"), F.array("start").alias("ids"), F.lit(0).alias("depth"), F.lit(1.0).alias("score"), F.lit(None).cast(edge_type).alias("edge"))
+    one = isinstance(starts, str)
+    if one:
+        begin, starts = F.lit(starts), edges.sparkSession.range(1).select(F.lit(starts).alias("start"))
+    out = starts.select("start", F.col("start").alias("id"), F.array("start").alias("ids"), F.lit(0).alias("depth"), F.lit(1.0).alias("score"), F.lit(None).cast(edge_type).alias("edge"))
     if keep_edges:
-        level = level.withColumn("edges", F.array().cast(T.ArrayType(edge_type)))
-    found = [level] if low == 0 else []
+        out = out.withColumn("edges", F.array().cast(T.ArrayType(edge_type)))
+    walk = walk.withColumnRenamed("edge", "_edge")
     for depth in range(1, high + 1):
-        step = walk.withColumnsRenamed({"edge": "_edge"})
-        level = level.drop("edge").join(step, F.col("id") == F.col("src")).filter(~F.array_contains("ids", F.col("dst")))
-        columns = [F.col("start"), F.col("dst").alias("id"), F.array_append("ids", F.col("dst")).alias("ids"), F.lit(depth).alias("depth"), (F.col("score") * F.col("sure") * decay).alias("score"), F.col("_edge").alias("edge")]
+        longer = {"start": F.col("start"), "id": F.col("dst"), "ids": F.array_append("ids", F.col("dst")), "depth": F.lit(depth), "score": F.col("score") * F.col("sure") * decay, "edge": F.col("_edge")}
         if keep_edges:
-            columns.append(F.array_append("edges", F.col("_edge")).alias("edges"))
-        level = level.select(*columns)
-        if depth >= low:
-            found.append(level)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+            longer["edges"] = F.array_append("edges", F.col("_edge"))
+        if one and depth == 1:
+            first = walk.filter((F.col("src") == begin) & (F.col("dst") != begin)).withColumns({"start": begin, "ids": F.array(begin), "score": F.lit(1.0)})
+            if keep_edges:
+                first = first.withColumn("edges", F.array().cast(T.ArrayType(edge_type)))
+            first = first.select(*[c.alias(n) for n, c in longer.items()])
+            out = out.unionByName(first) if low == 0 else first
+            continue
+        if depth <= low:
+            out = out.join(walk, F.col("id") == F.col("src")).filter(~F.array_contains("ids", F.col("dst")))
+            out = out.select(*[c.alias(n) for n, c in longer.items()])
+            continue
+        # a path of the last depth goes on, and stays; its other copy has a key that no edge has
+        out = out.withColumn("_go", F.explode(F.when(F.col("depth") == depth - 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+        key = F.when(F.col("_go"), F.col("id")).otherwise(F.concat(F.lit("\0"), F.col("id")))
+        out = out.withColumn("_at", key).join(walk, (F.col("_at") == F.col("src")) & F.col("_go"), "left")
+        out = out.filter(~F.col("_go") | (F.col("src").isNotNull() & ~F.array_contains("ids", F.col("dst"))))
+        out = out.select(*[F.when(F.col("_go"), c).otherwise(F.col(n)).alias(n) for n, c in longer.items()])
+    out = out.filter(F.col("depth") >= low)
     if budget is not None:
         worst = out.groupBy("start").count().filter(F.col("count") > budget).first()
         if worst:

@@ -234,8 +234,7 @@ class Lowering:
             start = Val(F.lit(None).cast("string"), STRING)
         key = fresh("start")
         if isinstance(start.literal, str):
-            starts = self.catalog.spark.range(1).select(F.lit(start.literal).alias("start"))
-            found = traverse.traverse(edges.df, starts, **options)
+            found = traverse.traverse(edges.df, start.literal, **options)
             frame = found if not state.df.columns and not state.scope else state.df.crossJoin(found)
         else:
             outer = state.df.withColumn(key, start.col)

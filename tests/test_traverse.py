@@ -44,3 +44,29 @@ def test_edges_are_those_of_a_plain_loop(spark):
         got = [(r["_from"], r["relation_type"], r["_to"], r["evidence_chunk_id"]) for r in traverse.select_edges(df, ["a", "b"], boosts=boosts).collect()]
         assert got == plainly(edges, {"a", "b"}, boosts), round_
     assert len(traverse.select_edges(df, [], limit=3, low_signal_limit=1).collect()) == 3
+
+
+def test_a_join_for_each_depth_and_a_scan_for_each_join(spark, tmp_path):
+    pairs = [(f"n/{a}", f"n/{b}") for a in range(8) for b in range(8) if (a * 5 + b * 3) % 7 < 2]
+    spark.createDataFrame(pairs, "_from string, _to string").write.parquet(str(tmp_path / "e"))
+    edges = spark.read.parquet(str(tmp_path / "e"))
+
+    def plainly(start, low, high):
+        found, level = [], [(start,)]
+        for depth in range(high + 1):
+            found += level if depth >= low else []
+            level = [p + (t,) for p in level for f, t in pairs if f == p[-1] and t not in p]
+        return sorted(found)
+
+    starts = spark.createDataFrame([("n/1",), ("n/2",), ("n/none",)], "start string")
+    for low, high in ((0, 0), (0, 2), (1, 3), (2, 3), (3, 3), (1, 5)):
+        one = traverse.traverse(edges, "n/1", low, high, keep_edges=high == 2)
+        assert sorted(tuple(r["ids"]) for r in one.collect()) == plainly("n/1", low, high)
+        assert all(r["depth"] == len(r["ids"]) - 1 and r["id"] == r["ids"][-1] for r in one.collect())
+        some = traverse.traverse(edges, starts, low, high)
+        want = sorted(p for s in ("n/1", "n/2", "n/none") for p in plainly(s, low, high))
+        assert sorted(tuple(r["ids"]) for r in some.collect()) == want
+    plan = traverse.traverse(edges, "n/1", 1, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 4 and plan.count("Relation [") == 5
+    executed = traverse.traverse(edges, "n/1", 1, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(_from,n/1)" in executed
