@@ -126,15 +126,44 @@ def stamped(doc: dict, collection: str, kind: str, created: str | None = None) -
     return doc
 
 
+def proper(value: Any, collection: str) -> str | None:
+    """The key that ``value`` names, or none: what is no key is refused where it is used."""
+    value = value.get("_key") if isinstance(value, dict) else value
+    try:
+        return key_of(value, collection)
+    except BadKey:
+        return None
+
+
+def documents_of(engine, name: str, keys: list[str | None]) -> dict[str, dict | None]:
+    """Documents by key, looked up in one job; None for a key that no document has."""
+    found: dict[str, dict | None] = dict.fromkeys(k for k in keys if k is not None)
+    if not found or name not in engine.catalog:
+        return found
+    df = engine.catalog[name].df
+    if len(found) <= 100:
+        df = df.filter(F.col("_key").isin(list(found)))
+    else:
+        df = df.join(engine.spark.createDataFrame([(k,) for k in found], "_key string"), "_key", "left_semi")
+    for row in df.collect():
+        document = as_json(row)
+        found[document["_key"]] = found[document["_key"]] or document
+    return found
+
+
 def apply_batch(engine, operations: list[dict]) -> list[dict]:
     """Inserts, updates, replacements and removals of single documents. They are
     folded by key on the driver and applied at once; all or nothing."""
     touched: dict[str, dict[str, dict | None]] = {}
     out = []
+    keys: dict[str, list[str | None]] = {}
+    for o in operations:
+        keys.setdefault(o["collection"], []).append(proper(o["document"] if o["op"] == "insert" else o.get("key"), o["collection"]))
+    stored = {n: documents_of(engine, n, k) for n, k in keys.items()}
 
     def current(name: str, key: str) -> dict | None:
         known = touched.setdefault(name, {})
-        return known[key] if key in known else engine.document(name, key)
+        return known[key] if key in known else stored[name].get(key)
 
     for o in operations:
         op, name = o["op"], o["collection"]
@@ -182,7 +211,7 @@ def with_keys(df: DataFrame) -> DataFrame:
 def upsert_documents(engine, name: str, documents: list[dict], keys: list[str]) -> None:
     df = with_keys(engine.catalog[name].df)
     gone = engine.spark.createDataFrame([(k,) for k in keys], "_key string")
-    rest = df.join(F.broadcast(gone), "_key", "left_anti")  # as many keys as the caller's operations
+    rest = df.join(gone, "_key", "left_anti")  # as many keys as the caller's operations; a short list is broadcast
     if documents:
         new = frame(engine, documents)
         fields = merged_types(rest, new)
@@ -243,8 +272,8 @@ def run(engine, q: A.Query, binds: dict) -> DataFrame:
         operations.append(got)
     news: list[dict] = []
     batch: list[dict] = []
-    seen: dict[str, dict | None] = {}
     name = m.collection
+    seen = documents_of(engine, name, [proper(got["value"] if m.kind == "INSERT" else got["key"], name) for got in operations])
 
     def look(key: str) -> dict | None:
         if key not in seen:
@@ -265,7 +294,7 @@ def run(engine, q: A.Query, binds: dict) -> DataFrame:
             if not isinstance(value, dict):
                 raise TypeMismatch("a document is needed")
             doc = stamped(value, name, kind)
-            if look(doc["_key"]) is not None:
+            if value.get("_key") is not None and look(doc["_key"]) is not None:
                 raise Conflict(f"{name}/{doc['_key']} exists")
             done({"op": "insert", "collection": name, "document": doc}, doc["_key"], None, doc)
             continue

@@ -561,7 +561,7 @@ def degradation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LICENCES = construct.Space.from_json({"entities": [{"name": "MIT License", "aliases": []}, {"name": "Apache License", "aliases": ["apache licence"]}]})
 
 
-@calls("""WITH f AS (SELECT doc_id AS i, lower(coalesce(text, '')) AS x FROM documents),
+@calls(r"""WITH f AS (SELECT doc_id AS i, lower(coalesce(text, '')) AS x FROM documents),
 p AS (SELECT i, x, [{'a': s, 'b': 'mit license'} FOR s IN ['apache license', 'apache licence']] AS ab FROM f),
 q AS (SELECT i, x, list_concat(ab, [{'a': y.b, 'b': y.a} FOR y IN ab]) AS ab FROM p),
 r AS (SELECT i, x, [{'a': y.a, 'b': y.b, 'z': substr(x, strpos(x, y.a) + length(y.a))} FOR y IN ab] AS ab FROM q),

@@ -164,6 +164,28 @@ def test_mutations(engine):
         engine.query('REMOVE "p1" IN papers', read_only=True)
 
 
+def test_a_mutation_looks_its_documents_up_at_once(spark, tmp_path):
+    from graphloom.engine import Engine
+    from graphloom.errors import Conflict
+
+    engine = Engine(spark, store=str(tmp_path / "store"))
+    engine.register("n", spark.range(300).selectExpr("id AS k", "id % 7 AS g"), "k")
+    spark.sparkContext.setJobGroup("many", "many")
+    engine.query("FOR x IN n FILTER x.k < 250 UPDATE x._key WITH {g: -1} IN n")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("many"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert jobs < 40
+    assert engine.catalog["n"].df.filter("g = -1").count() == 250 and engine.catalog["n"].df.count() == 300
+    engine.query("FOR x IN n FILTER x.g == -1 REMOVE x IN n")
+    assert engine.catalog["n"].df.count() == 50
+    engine.query("FOR i IN [1, 2] INSERT {g: i} INTO n")
+    assert engine.catalog["n"].df.count() == 52
+    with pytest.raises(Conflict):
+        engine.batch([{"op": "insert", "collection": "n", "document": {"_key": "z"}}, {"op": "insert", "collection": "n", "document": {"_key": "z"}}])
+    with pytest.raises(Conflict):
+        engine.query('INSERT {_key: "299"} INTO n')
+
+
 def test_batch_is_all_or_nothing(engine):
     with pytest.raises(UnknownDocument):
         engine.batch([{"op": "insert", "collection": "papers", "document": {"_key": "z"}}, {"op": "remove", "collection": "papers", "key": "none"}])
