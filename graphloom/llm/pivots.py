@@ -7,15 +7,18 @@ other and order the pivots almost alike. A vector is listed under each set of
 only if they share ``shared`` pivots or more; then their cosine is verified in
 double precision.
 
-Pivots are fitted on a bounded sample (up to 512 vectors a label, 51,200 in all or
-``pivots`` a label, those with the least hash of vec_id), spread out over it; every
-vector is indexed. As only vectors of one label are compared, each of the ``own``
-most frequent labels has pivots of its own; the others share pivots that are fitted
-on a sample of them all (``sample`` vectors), in lists of their own.
+Pivots are fitted on a bounded sample (``sample`` vectors in all, 51,200, or
+``pivots`` a label, by hash of the vector), spread out over it; every vector is
+indexed. As only vectors of one label are compared, each of the ``own`` most
+frequent labels has pivots of its own, ``pivots`` or, where that is more,
+``growth`` times the root of its size: as lists go by the square of the pivots, their
+length doesn't grow with the label until pivots are a quarter of its sample. Beyond
+that, ``shared`` 3 of ``depth`` 6 makes lists go by the cube. The other labels share
+pivots that are fitted on a sample of them all, in lists of their own.
 
 Equal vectors are one node with a weight. Long lists are compared in tiles. A
 pair that shares several lists is counted in one of them: the list of the least
-pivots that both share.
+pivots that both share, which no other shared pivot precedes.
 
 Vectors that are null, zero, or hold null or non-finite components, and those
 without a label, link with nothing: they are their own component, kept, with no
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import dealt, edges, labels, tiles
-from .common import saved
+from .common import lists, saved
 from .components import components
 from .repeats import mixed
 
@@ -52,38 +55,64 @@ def usable(column: str = "embedding"):
     return F.coalesce(fine, F.lit(False))
 
 
-def spread(unit: np.ndarray, pivots: int) -> np.ndarray:
+def spread(unit: np.ndarray, pivots: int, more: int = 0, apart: float = 1.0) -> np.ndarray:
     """Farthest-first choice: each next pivot is the vector least like those chosen.
-    Pivots from one dense group would be near ties, ordered by chance."""
+    Pivots from one dense group would be near ties, ordered by chance; so those beyond
+    ``pivots``, up to ``more``, are taken only while their cosine with all is below ``apart``."""
     best, chosen = unit @ unit[0], [0]
-    while len(chosen) < min(pivots, len(unit)):
+    while len(chosen) < min(max(pivots, more), len(unit)):
         at = int(best.argmin())
+        if len(chosen) >= pivots and best[at] >= apart:
+            break
         chosen.append(at)
         best = np.maximum(best, unit @ unit[at])
     return unit[chosen]
 
 
-def pivot_table(vectors: DataFrame, pivots: int, sample: int = 51_200, own: int = 1000) -> dict[tuple[str | None, int], np.ndarray]:
+def nearest(unit: np.ndarray, refs: np.ndarray, depth: int) -> np.ndarray:
+    """The ``depth`` nearest pivots of each vector, in ascending order of their numbers."""
+    out = np.empty((len(unit), depth), np.int32)
+    step = max(1, (1 << 21) // len(refs))
+    for i in range(0, len(unit), step):
+        far = -(unit[i : i + step] @ refs.T)
+        out[i : i + step] = np.sort(np.argpartition(far, depth - 1, axis=1)[:, :depth], axis=1)
+    return out
+
+
+def pivot_table(vectors: DataFrame, pivots: int, growth: float = 2.0, apart: float = 1.0, sample: int = 51_200, own: int = 1000) -> dict[tuple[str | None, int], np.ndarray]:
     """Unit vectors of the pivots of each label and width of vectors, from ``sample``
     vectors in all; those of the label None serve all labels that aren't there."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("label").orderBy(F.xxhash64("node"), "node")
-    frequent = [r["label"] for r in vectors.groupBy("label").count().orderBy(F.desc("count"), "label").limit(own + 1).collect()]
-    more, frequent = len(frequent) > own, frequent[:own]
-    each = max(pivots, min(512, sample // max(1, len(frequent))))
-    drawn = vectors.filter(F.col("label").isin(frequent)).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= each)
-    rows = [(r.label, r.nth, r.vector) for r in drawn.select("label", "vector", "nth").collect()]
-    if more:
-        rest = vectors.filter(~F.col("label").isin(frequent)).orderBy(F.xxhash64("node"), "node").limit(max(pivots, sample // 10))
-        rows += [(None, i, r.vector) for i, r in enumerate(rest.select("vector").collect())]
-    out: dict[tuple[str | None, int], list] = {}
-    for label, _, vector in sorted(rows, key=lambda r: (r[0] or "", r[1])):
-        out.setdefault((label, len(vector)), []).append(vector)
-    return {k: spread(_unit(np.array(v, np.float64)), pivots) for k, v in out.items()}
-
-
-def near_duplicates(rows: DataFrame, cosine: float = 0.98, pivots: int = 48, depth: int = 4, shared: int = 2, most: int = 512, own: int = 1000) -> DataFrame:
+    spark = vectors.sparkSession
+    sizes = [(r["label"], r["count"]) for r in vectors.groupBy("label").count().orderBy(F.desc("count"), "label").limit(own + 1).collect()]
+    others, sizes = len(sizes) > own, sizes[:own]
+    each = max(pivots, sample // max(1, len(sizes)))
+    # a label's rows with hashes in its share, about twice as many as needed, are all that is sorted
+    shares = spark.createDataFrame([(label, min(1.0, 2 * each / n)) for label, n in sizes], "label string, share double")
+    hashed = F.xxhash64("same")
+    inside = F.pmod(hashed, F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    nth = F.row_number().over(Window.partitionBy("label").orderBy(hashed, "same"))
+    drawn = vectors.join(F.broadcast(shares), "label").filter(inside).withColumn("nth", nth).filter(F.col("nth") <= each)
+    tables = [drawn.select("label", "nth", "vector").toArrow()]
+    if others:
+        rest = vectors.join(F.broadcast(shares), "label", "left_anti").orderBy(hashed, "same").limit(max(pivots, sample // 10))
+        tables.append(rest.select(F.lit(None).cast("string").alias("label"), F.lit(0).alias("nth"), "vector").toArrow())
+    out: dict[tuple[str | None, int], np.ndarray] = {}
+    many = dict(sizes)
+    for table in tables:
+        table = table.sort_by([("label", "ascending"), ("nth", "ascending")]).combine_chunks()
+        name, vector = table.column("label").to_pylist(), table.column("vector").combine_chunks()
+        group: dict[tuple[str | None, int], list[int]] = {}
+        for i, k in enumerate(zip(name, np.diff(vector.offsets.to_numpy()).tolist(), strict=True)):
+            group.setdefault(k, []).append(i)
+        for k, at in group.items():
+            unit = _unit(vector.take(pa.array(at)).flatten().to_numpy().astype(np.float64).reshape(len(at), -1))
+            out[k] = spread(unit, pivots, min(int(growth * many.get(k[0], 0) ** 0.5), len(at) // 4), apart)
+    return out
+
+
+def near_duplicates(rows: DataFrame, cosine: float = 0.98, pivots: int = 48, depth: int = 5, shared: int = 2, most: int = 512, own: int = 1000, growth: float = 2.0) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, a row for each vector."""
     rows = rows.select(F.coalesce("vec_id", F.lit(NULL)).alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").alias("vector"))
     rows = rows.withColumn("fine", usable("vector") & F.col("label").isNotNull())
@@ -93,9 +122,9 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, pivots: int = 48, dep
     rows = saved(rows.withColumn("same", key), "vectors")
     nodes = rows.filter("fine").groupBy("same").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.min_by(F.struct("label", "vector"), "vec_id").alias("v"))
     nodes = saved(nodes.select("same", "node", "weight", "v.label", "v.vector"), "vectors")
-    table = pivot_table(nodes, pivots, own=own)
+    table = pivot_table(nodes, pivots, growth, 2 * cosine * cosine - 1, own=own)  # apart: twice the angle of a link
     items = nodes.schema["vector"].simpleString().split(":", 1)[1]
-    schema = f"key long, node long, weight long, mask long, pivots long, vector {items}"
+    schema = f"key long, node long, weight long, first array<int>, last int, vector {items}"
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +132,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, pivots: int = 48, dep
             label, names = names.indices.to_numpy(), names.dictionary.to_pylist()
             vector = batch.column("vector")
             size = np.diff(vector.offsets.to_numpy())
-            keys, where, masks, lists = [], [], [], []
+            keys, where, firsts, lasts = [], [], [], []
             order = np.lexsort((size, label))
             edge = np.flatnonzero(np.concatenate([[True], (np.diff(label[order]) != 0) | (np.diff(size[order]) != 0), [True]]))
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -114,26 +143,28 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, pivots: int = 48, dep
                 if refs is None:  # a width that no vector of the sample has: one list
                     keys.append(np.full(len(at), base, np.int64))
                     where.append(at)
-                    masks.append(np.ones(len(at), np.int64))
-                    lists.append(np.ones(len(at), np.int64))
+                    firsts += list(np.zeros((len(at), 1), np.int32))
+                    lasts.append(np.zeros(len(at), np.int32))
                     continue
                 x = _unit(vector.take(pa.array(at)).flatten().to_numpy().astype(np.float64).reshape(-1, width))
                 own = min(depth, len(refs))
-                first = np.sort(np.argsort(-(x @ refs.T), axis=1, kind="stable")[:, :own], axis=1)
+                first = nearest(x, refs, own)
                 for some in combinations(range(own), min(shared, own)):
-                    these = (np.int64(1) << first[:, some]).sum(1)
-                    keys.append((mixed((these + np.int64(base)).view(np.uint64)) >> np.uint64(1)).astype(np.int64))
+                    key = np.full(len(at), base, np.uint64)
+                    for i in some:
+                        key = mixed(key + first[:, i].astype(np.uint64) + np.uint64(1))
+                    keys.append((key >> np.uint64(1)).astype(np.int64))
                     where.append(at)
-                    masks.append((np.int64(1) << first).sum(1))
-                    lists.append(these)
+                    firsts += list(first)
+                    lasts.append(first[:, some[-1]])
             if keys:
                 at = pa.array(np.concatenate(where))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column("node").take(at), batch.column("weight").take(at), pa.array(np.concatenate(masks)), pa.array(np.concatenate(lists)), vector.take(at)], names=["key", "node", "weight", "mask", "pivots", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column("node").take(at), batch.column("weight").take(at), lists(firsts, pa.int32()), pa.array(np.concatenate(lasts)), vector.take(at)], names=["key", "node", "weight", "first", "last", "vector"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in tiles(batches):
-            node, weight, mask, part, own, ta, tb = (t.column(c).to_numpy() for c in ("node", "weight", "mask", "part", "pivots", "ta", "tb"))
-            vector, edge = t.column("vector").combine_chunks(), edges(t)
+            node, weight, part, last, ta, tb = (t.column(c).to_numpy() for c in ("node", "weight", "part", "last", "ta", "tb"))
+            vector, firsts, edge = t.column("vector").combine_chunks(), t.column("first").combine_chunks(), edges(t)
             found: list[list[np.ndarray]] = [[], [], []]
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 n = hi - lo
@@ -146,12 +177,10 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, pivots: int = 48, dep
                 if ta[lo] != tb[lo]:  # two parts (one may be empty): only across
                     near &= part[lo:hi, None] != part[None, lo:hi]
                 a, b = np.nonzero(near)
-                rest, least = mask[lo:hi][a] & mask[lo:hi][b], np.zeros(len(a), np.int64)
-                for _ in range(int(own[lo]).bit_count()):
-                    low = rest & -rest
-                    least |= low
-                    rest ^= low
-                a, b = a[least == own[lo]], b[least == own[lo]]
+                first = firsts.slice(lo, n).flatten().to_numpy().reshape(n, -1)
+                both = (first[a][:, :, None] == first[b][:, None]).any(2) & (first[a] <= last[lo])
+                least = both.sum(1) == min(shared, first.shape[1])
+                a, b = a[least], b[least]
                 if not len(a):
                     continue
                 links = np.bincount(a, weights=weight[lo:hi][b], minlength=n).astype(np.int64)

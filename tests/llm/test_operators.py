@@ -783,6 +783,35 @@ def test_pivot_index(spark):
     assert pivots.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_pivots_grow_with_the_label_and_stay_apart():
+    dice = np.random.default_rng(3)
+    loose = pivots._unit(dice.normal(size=(300, 24)))
+    dense = pivots._unit(loose[0] + dice.normal(size=(300, 24)) * 0.01)
+    refs = pivots.spread(np.concatenate([dense, loose[1:]]), 20, 400, 0.92)
+    assert 200 < len(refs) <= 300
+    likeness = refs @ refs.T
+    np.fill_diagonal(likeness, 0)
+    assert likeness.max() < 0.92
+    assert len(pivots.spread(dense, 20, 400, 0.92)) == 20
+    near = pivots.nearest(loose, refs, 4)
+    assert [set(r) for r in near.tolist()] == [set(r) for r in np.argsort(-(loose @ refs.T), axis=1)[:, :4].tolist()]
+
+
+@pytest.mark.parametrize("options", [{}, {"pivots": 8, "growth": 4.0}, {"depth": 6, "shared": 3}, {"own": 1}, {"most": 16}])
+def test_pivot_links_count_once(spark, options):
+    dice = np.random.default_rng(4)
+    centres = dice.normal(size=(260, 24))
+    rows = [(c + dice.normal(size=24) * 0.05, i % 7 > 4) for i, c in enumerate(centres) for _ in range(1 + i % 5)]
+    df = spark.createDataFrame([(i, [float(v) for v in x], str(l)) for i, (x, l) in enumerate(rows)], "vec_id long, embedding array<double>, label string")
+    unit = pivots._unit(np.array([x for x, _ in rows]))
+    label = np.array([l for _, l in rows])
+    close = (unit @ unit.T >= 0.98) & (label[:, None] == label[None])
+    np.fill_diagonal(close, False)
+    got = {r["vec_id"]: r["n_links"] for r in pivots.near_duplicates(df, **options).collect()}
+    assert all(got[i] <= c for i, c in enumerate(close.sum(1).tolist()))
+    assert close.sum() > 500 and sum(got.values()) >= 0.95 * close.sum()
+
+
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.1"])
 def test_pivot_recall(spark, folder):
     import os
