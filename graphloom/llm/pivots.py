@@ -79,7 +79,7 @@ def nearest(unit: np.ndarray, refs: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def pivot_table(vectors: DataFrame, pivots: int, growth: float = 2.0, apart: float = 1.0, sample: int = 51_200, own: int = 1000) -> dict[tuple[str | None, int], np.ndarray]:
+def pivot_table(vectors: DataFrame, pivots: int, growth: float = 1.0, apart: float = 1.0, sample: int = 51_200, own: int = 1000) -> dict[tuple[str | None, int], np.ndarray]:
     """Unit vectors of the pivots of each label and width of vectors, from ``sample``
     vectors in all; those of the label None serve all labels that aren't there."""
     from pyspark.sql import Window
@@ -112,7 +112,7 @@ def pivot_table(vectors: DataFrame, pivots: int, growth: float = 2.0, apart: flo
     return out
 
 
-def near_duplicates(rows: DataFrame, cosine: float = 0.98, pivots: int = 48, depth: int = 5, shared: int = 2, most: int = 512, own: int = 1000, growth: float = 2.0) -> DataFrame:
+def near_duplicates(rows: DataFrame, cosine: float = 0.98, pivots: int = 48, depth: int = 4, shared: int = 2, most: int = 512, own: int = 1000, growth: float = 1.0) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, a row for each vector."""
     rows = rows.select(F.coalesce("vec_id", F.lit(NULL)).alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").alias("vector"))
     rows = rows.withColumn("fine", usable("vector") & F.col("label").isNotNull())
