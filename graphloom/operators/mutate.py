@@ -288,8 +288,9 @@ def run(engine, q: A.Query, binds: dict) -> DataFrame:
         news.append(new)
 
     kind = engine.catalog[name].kind
+    least = first_matches(engine, name, [got["key"] for got in operations]) if m.kind == "UPSERT" else {}
     for got in operations:
-        if m.kind == "INSERT" or (m.kind == "UPSERT" and (match := matching(engine, name, got["key"], seen)) is None):
+        if m.kind == "INSERT" or (m.kind == "UPSERT" and (match := matching(engine, name, got["key"], seen, least)) is None):
             value = got["value"]
             if not isinstance(value, dict):
                 raise TypeMismatch("a document is needed")
@@ -299,7 +300,7 @@ def run(engine, q: A.Query, binds: dict) -> DataFrame:
             done({"op": "insert", "collection": name, "document": doc}, doc["_key"], None, doc)
             continue
         key = match["_key"] if m.kind == "UPSERT" else key_of(got["key"]["_key"] if isinstance(got["key"], dict) and "_key" in got["key"] else got["key"], name)
-        old = look(key)
+        old = match if m.kind == "UPSERT" else look(key)
         if old is None:
             raise UnknownDocument(f"{name}/{key}")
         if m.kind == "REMOVE":
@@ -324,8 +325,45 @@ def run(engine, q: A.Query, binds: dict) -> DataFrame:
     return low.result(State(both, scope, [Order(F.col("n"))]), A.Query((), result=q.result))
 
 
-def matching(engine, name: str, search: Any, seen: dict) -> dict | None:
-    """The first document, by key, that has every field of ``search``."""
+def canonical(search: dict) -> str:
+    import json
+
+    return json.dumps(search, sort_keys=True)
+
+
+def fitting(df: DataFrame, search: dict):
+    """Whether a stored document has every field of ``search``; None if none can."""
+    from ..functions.values import equal, lit
+
+    columns = {f.name: f.dataType for f in df.schema}
+    if any(k not in columns for k in search):
+        return None
+    fits = F.lit(True)
+    for k, v in search.items():
+        fits &= equal(Val(F.col(f"`{k}`"), columns[k]), lit(v))
+        if KEYS in columns:
+            fits &= F.array_contains(KEYS, F.lit(k))
+    return fits
+
+
+def first_matches(engine, name: str, searches: list[Any]) -> dict[str, dict | None]:
+    """For each search by other fields than the key, the stored document with the least
+    key that fits it: a job for a hundred distinct searches, and one for the documents."""
+    df = engine.catalog[name].df
+    least: dict[str, Any] = {}
+    conditions = {canonical(s): fitting(df, s) for s in searches if isinstance(s, dict) and "_key" not in s}
+    able = [(c, f) for c, f in conditions.items() if f is not None]
+    for i in range(0, len(able), 100):
+        some = able[i : i + 100]
+        row = df.agg(*[F.min(F.when(f, F.col("_key"))).alias(f"k{j}") for j, (_, f) in enumerate(some)]).first()
+        least |= {c: row[j] for j, (c, _) in enumerate(some)}
+    stored = documents_of(engine, name, list(least.values()))
+    return {c: stored.get(least.get(c)) for c in conditions}
+
+
+def matching(engine, name: str, search: Any, seen: dict, least: dict[str, dict | None]) -> dict | None:
+    """The first document, by key, that has every field of ``search``; ``least`` are
+    the first matches among stored documents, before this mutation."""
     if not isinstance(search, dict):
         raise TypeMismatch("UPSERT searches by a document")
 
@@ -336,20 +374,10 @@ def matching(engine, name: str, search: Any, seen: dict) -> dict | None:
         key = search["_key"]
         doc = seen[key] if key in seen else engine.document(name, key)
         return doc if fits(doc) else None
-    df = engine.catalog[name].df
-    columns = {f.name: f.dataType for f in df.schema}
-    from ..functions.values import equal, lit
-
-    if any(k not in columns for k in search):
-        found = None
-    else:
-        for k, v in search.items():
-            same = equal(Val(F.col(f"`{k}`"), columns[k]), lit(v))
-            present = F.array_contains(KEYS, F.lit(k)) if KEYS in columns else F.lit(True)
-            df = df.filter(same & present)
-        if changed := list(seen):
-            df = df.filter(~F.col("_key").isin(changed))
-        row = df.orderBy("_key").limit(1).collect()
+    found = least[canonical(search)]
+    if found is not None and found["_key"] in seen:  # looked up again without the documents that this mutation has seen
+        df = engine.catalog[name].df
+        row = df.filter(fitting(df, search) & ~F.col("_key").isin(list(seen))).orderBy("_key").limit(1).collect()
         found = as_json(row[0]) if row else None
     own = sorted((d for d in seen.values() if fits(d)), key=lambda d: d["_key"])
     return min([d for d in [found, *own[:1]] if d is not None], key=lambda d: d["_key"], default=None)

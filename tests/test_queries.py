@@ -186,6 +186,26 @@ def test_a_mutation_looks_its_documents_up_at_once(spark, tmp_path):
         engine.query('INSERT {_key: "299"} INTO n')
 
 
+def test_upserts_by_other_fields_are_looked_up_at_once(spark, tmp_path):
+    from graphloom.engine import Engine
+
+    engine = Engine(spark, store=str(tmp_path / "store"))
+    engine.register("n", spark.range(300).selectExpr("id AS k", "id % 7 AS g"), "k")
+    spark.sparkContext.setJobGroup("upserts", "upserts")
+    engine.query("FOR x IN n FILTER x.k < 250 UPSERT {k: x.k} INSERT {k: x.k} UPDATE {g: 10 + x.g} IN n")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("upserts"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert jobs < 60
+    assert engine.catalog["n"].df.filter("g >= 10").count() == 250 and engine.catalog["n"].df.count() == 300
+    # each takes the least key that still has the value, what went before it in the same query counted
+    keys = sorted(r["_key"] for r in engine.catalog["n"].df.filter("g = 11").collect())
+    assert engine.rows("FOR i IN [1, 2, 3] UPSERT {g: 11} INSERT {g: 11} UPDATE {g: 0} IN n RETURN NEW._key") == keys[:3]
+    text = 'FOR i IN ["a", "b", "a"] UPSERT {t: i} INSERT {t: i, c: 1} UPDATE {c: 2} IN n RETURN [NEW.t, NEW.c]'
+    assert engine.rows(text) == [["a", 1], ["b", 1], ["a", 2]]
+    assert engine.rows(text) == [["a", 2], ["b", 2], ["a", 2]]
+    assert engine.catalog["n"].df.count() == 302
+
+
 def test_batch_is_all_or_nothing(engine):
     with pytest.raises(UnknownDocument):
         engine.batch([{"op": "insert", "collection": "papers", "document": {"_key": "z"}}, {"op": "remove", "collection": "papers", "key": "none"}])
