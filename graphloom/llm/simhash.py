@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, saved, texts
+from .common import as_bytes, lists, saved, texts
 from .components import components
 from .repeats import mixed
 
@@ -125,6 +125,10 @@ SKETCH = 4  # of them, those that stand for all where candidates are compared
 MANY = 4096  # rows of a bucket that are compared at once
 FEW = 6  # rows of a bucket up to which all its pairs are candidates
 CHANCE = 256  # rows that may share a key by chance before keys get wider
+SAMPLE = 8192  # texts whose shingles tell which are common
+COMMON = 100_000  # shingles at most that are held to be common
+PARITY = 1024  # bits that bound how much two sets differ
+_NEAR = 1e-9  # what rounding may take from a bound
 _ODD = 2 * np.arange(WORDS, dtype=np.uint64) + np.uint64(1)
 _STEP = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,10 +137,9 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, size))
 
 
-def wide_fingerprint(text: bytes, size: int) -> bytes:
+def wide_fingerprint(h: np.ndarray) -> bytes:
     """Majority bits of :data:`WORDS` hashes derived from each distinct shingle's
     hash. More bits tell similarities apart that 64 can't."""
-    h = shingle_set(text, size)
     ones = np.zeros(64 * WORDS, np.int64)
     for lo in range(0, len(h), 255):  # so that a count fits into a byte
         g = mixed(mixed(h[lo : lo + 255, None] * _ODD + _STEP))
@@ -150,6 +153,28 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
+def least_common(sizes, similarity: float):
+    """What two sets of so many members together must share to be alike."""
+    return np.ceil(sizes * similarity / (1 + similarity) - _NEAR)
+
+
+def prefix(h: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first members of a set, in one order for all sets, of which sets that are alike
+    share at least one: they share ``similarity`` of each. ``common`` ones, sorted, come
+    last, by ``rank``; which are in it changes only how many sets meet at a member."""
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        late = common[at] == h
+        h = np.concatenate([h[~late], h[late][np.argsort(rank[at[late]])]])
+    return h[: len(h) - int(np.ceil(similarity * len(h) - _NEAR)) + 1]
+
+
+def parity(h: np.ndarray) -> bytes:
+    """Of each of :data:`PARITY` classes, whether the set has an odd number of members in
+    it. Two sets differ in as many members as bits, or more."""
+    return np.packbits(np.bincount((h % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+
+
 def agreement(similarity: float) -> float:
     """Chance that a bit of two fingerprints agrees, at a Jaccard similarity."""
     return 1 - float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
@@ -267,6 +292,24 @@ def buckets(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], most: int
         yield held, bounds(held), not broken
 
 
+def crossing(bucket: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, own: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that meet in a bucket, are in different groups and may be alike. A row is the
+    member at place ``at`` of a set of ``n``; rows of a bucket are in order of ``n``. If it
+    is the first that two sets share, they share no more than what follows it in either.
+    Of two rows one must be the bucket's ``own``."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    i, step = np.arange(len(bucket)), 1
+    while len(i := i[: np.searchsorted(i, len(bucket) - step)]):
+        j = i + step
+        stay = (bucket[i] == bucket[j]) & (n[i] >= similarity * n[j] - _NEAR)  # else no later row is alike
+        i, j = i[stay], j[stay]
+        met = (root[i] != root[j]) & (own[i] | own[j]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= least_common(n[i] + n[j], similarity))
+        a.append(i[met])
+        b.append(j[met])
+        step += 1
+    return np.concatenate(a), np.concatenate(b)
+
+
 _SKETCH = tuple(f"s{i}" for i in range(SKETCH))
 
 
@@ -364,25 +407,110 @@ def _again(nodes: DataFrame, bits: np.ndarray, keys: DataFrame, roots: DataFrame
     return work.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
 
 
+def _common(text: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles, sorted, and the rank of each, rarer ones first, from a sample of
+    about :data:`SAMPLE` texts. They only set an order (see :func:`prefix`)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, size) for t in as_bytes(batch.column("text"))]
+            h, many = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(many)], names=["h", "many"])
+
+    times = -(-text.count() // SAMPLE) or 1
+    some = text.filter(F.pmod(F.xxhash64("_id", "_h"), F.lit(times)) == 0).select("text").mapInArrow(run, "h long, many long")
+    often = some.groupBy("h").agg(F.sum("many").alias("many")).filter(F.col("many") >= max(4, 64 // times))
+    found = often.orderBy(F.desc("many"), "h").limit(COMMON).toArrow()
+    h = found.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], -order
+
+
+def _missed(nodes: DataFrame, similarity: float, many: int) -> DataFrame:
+    """``a, b, ra, rb``: every two nodes of different groups (``root``) that may be alike.
+
+    Sets that are alike share a member of their prefixes, so nodes meet at each member of
+    theirs. No row is left out where many meet: they are dealt into parts, and all but those
+    of the largest group go to every part, as rows of one group needn't be compared."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edge, _ in buckets(batches, ("key", "part"), None):
+            root = table.column("root").to_numpy()
+            several = np.minimum.reduceat(root, edge[:-1]) < np.maximum.reduceat(root, edge[:-1])
+            rows = np.flatnonzero(np.repeat(several, np.diff(edge)))
+            if not len(rows):
+                continue
+            bucket, root = np.repeat(np.arange(len(edge) - 1), np.diff(edge))[rows], root[rows]
+            node, n, at, own = (table.column(c).to_numpy()[rows] for c in ("node", "n", "at", "own"))
+            x, y = crossing(bucket, n.astype(np.int64), at, root, own.astype(bool), similarity)
+            x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+            found = np.unique(np.stack([node[x], node[y], root[x], root[y]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in found.T], names=["a", "b", "ra", "rb"])
+
+    def able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("pa", "pb"))
+            sizes = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+            may = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= sizes - 2 * least_common(sizes, similarity)
+            yield batch.select(["a", "b", "ra", "rb"]).filter(pa.array(may))
+
+    rows = nodes.select("node", "root", "n", F.posexplode("prefix").alias("at", "key"))
+    total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    most = max(1, many // 2, total // 100_000)
+    some = rows.filter("pmod(xxhash64(node), 8) = 0").groupBy("key").agg((8 * F.count(F.lit(1))).alias("many"))
+    hot = F.broadcast(saved(some.filter(F.col("many") > most).select("key"), "hot"))
+    each = rows.join(hot, "key").groupBy("key", "root").agg(F.count(F.lit(1)).alias("many"))
+    largest = each.groupBy("key").agg(F.sum("many").alias("all"), F.max(F.struct("many", "root")).alias("largest")).filter(F.col("all") > F.col("largest.many"))
+    largest = largest.select("key", F.ceil(F.col("all") / most).cast("int").alias("parts"), F.col("largest.root").alias("first"))
+    crowd = rows.join(F.broadcast(saved(largest, "largest")), "key").withColumn("home", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    crowd = crowd.withColumn("part", F.explode(F.when(F.col("root") == F.col("first"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    crowd = crowd.withColumn("own", (F.col("part") == F.col("home")).cast("int"))
+    calm = rows.join(hot, "key", "left_anti").withColumns({"part": F.lit(0), "own": F.lit(1)})
+    columns = ["key", "part", "n", "at", "own", "node", "root"]
+    work = calm.select(*columns).unionByName(crowd.select(*columns)).repartition("key", "part").sortWithinPartitions("key", "part", "n")
+    pairs = saved(work.mapInArrow(compare, "a long, b long, ra long, rb long").distinct(), "crossing")
+    size = nodes.select("node", "n", "parity")
+    pairs = pairs.join(size.toDF("a", "na", "pa"), "a").join(size.toDF("b", "nb", "pb"), "b")
+    return pairs.mapInArrow(able, "a long, b long, ra long, rb long")
+
+
 def _groups(docs: DataFrame, size: int, similarity: float, many: int) -> DataFrame:
     """``_id, _h, root`` for each row of ``docs``, which has ``_id`` and ``_h`` (see
     :func:`representatives`); ``root`` is the same in a group and nowhere else."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [wide_fingerprint(t, size) for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), pa.array(fp, pa.binary())], names=["_id", "_h", "fp"])
+            sets = [shingle_set(t, size) for t in as_bytes(batch.column("text"))]
+            columns = {
+                "fp": pa.array([wide_fingerprint(h) for h in sets], pa.binary()),
+                "s": pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)),
+                "n": pa.array([len(h) for h in sets], pa.int32()),
+                "parity": pa.array([parity(h) for h in sets], pa.binary()),
+                "prefix": lists([prefix(h, similarity, common, rank).view(np.int64) for h in sets], pa.int64()),
+            }
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), *columns.values()], names=["_id", "_h", *columns])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = functools.lru_cache(64)(functools.partial(shingle_set, size=size))  # a leader comes many times
         for batch in batches:
             x, y = as_bytes(batch.column("ta")), as_bytes(batch.column("tb"))
             alike = pa.array([jaccard(shingles(t), shingles(u)) >= similarity for t, u in zip(x, y, strict=True)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(alike)
+            yield batch.drop_columns(["ta", "tb"]).filter(alike)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = nodes.join(ends, "node", "left_semi").select("node", "_id", "_h")
+        there = saved(text.join(wanted, ["_id", "_h"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+        both = pairs.join(there.toDF("a", "ta"), "a").join(there.toDF("b", "tb"), "b")
+        return saved(both.select(*pairs.columns, "ta", "tb").mapInArrow(verify, pairs.schema), "links")
 
     text = texts(docs, "_id", "_h").drop("doc_id")
-    each = saved(text.mapInArrow(sign, "_id long, _h long, fp binary"), "simhash")
-    nodes = each.groupBy("fp").agg(F.min(F.struct("_id", "_h")).alias("row")).select("fp", "row.*")
+    common, rank = _common(text, size)
+    each = saved(text.mapInArrow(sign, "_id long, _h long, fp binary, s long, n int, parity binary, prefix array<long>"), "simhash")
+    nodes = each.groupBy("fp", "s").agg(F.min(F.struct("_id", "_h")).alias("row"), *(F.first(c).alias(c) for c in ("n", "parity", "prefix")))
+    nodes = nodes.select("fp", "s", "row.*", "n", "parity", "prefix")
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     count = nodes.count()
     bits, far = block_bits(count, similarity), far_bits(similarity)
@@ -391,11 +519,7 @@ def _groups(docs: DataFrame, size: int, similarity: float, many: int) -> DataFra
     some_open = not open_.isEmpty()
     links = roots = None
     while True:
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = nodes.join(ends, "node", "left_semi").select("node", "_id", "_h")
-        there = saved(text.join(wanted, ["_id", "_h"]).dropDuplicates(["node"]).select("node", "text"), "texts")
-        both = pairs.join(there.toDF("a", "ta"), "a").join(there.toDF("b", "tb"), "b")
-        new = saved(both.mapInArrow(verify, "a long, b long"), "links")
+        new = verified(pairs)
         if links is not None and new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)
@@ -403,8 +527,11 @@ def _groups(docs: DataFrame, size: int, similarity: float, many: int) -> DataFra
         if not some_open:
             break
         pairs = saved(_again(nodes, bits, open_, roots, far, many), "pairs")
-    roots = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    return saved(each.join(roots, "fp").select("_id", "_h", "root"), "groups")
+    nodes = saved(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")
+    new = verified(saved(_missed(nodes, similarity, many), "pairs"))
+    joined = components(new.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).toDF("root", "least")
+    roots = nodes.join(joined, "root", "left").select("fp", "s", F.coalesce("least", "root").alias("root"))
+    return saved(each.select("_id", "_h", "fp", "s").join(roots, ["fp", "s"]).select("_id", "_h", "root"), "groups")
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -413,15 +540,17 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, many: int = MANY) -> DataFrame:
     """``doc_id, component_id``: groups of texts whose sets of shingles have a Jaccard
-    similarity of ``similarity`` or more, directly or through others.
+    similarity of ``similarity`` or more, directly or through others. No pair from there on
+    is left out: what the fingerprints miss, :func:`_missed` finds.
 
-    Candidates agree on one key of :func:`block_bits` (up to 17 million fingerprints, 96
+    Candidates of the fingerprints agree on one key of :func:`block_bits` (up to 17 million fingerprints, 96
     blocks of 16 bits) and differ in :func:`far_bits` of a 256-bit sketch at most; each
     is verified on its texts. Bits of two fingerprints differ with probability
     ``acos(2 J / (1 + J)) / pi``, so at J = 0.8 a pair is a candidate in over 99.8 of
     100 cases. In buckets of over :data:`FEW` rows candidates are linked to leaders; in
     those of over ``many``, groups that are near each other are then tried by their
-    nearest rows, until no more are joined."""
+    nearest rows, until no more are joined. Last, texts of different groups are compared
+    wherever they share a shingle of the part of their sets that alike texts must share."""
     rows = _groups(_marked(docs), size, similarity, many)
     least = rows.groupBy("root").agg(F.min("_id").alias("least"))
     real = [F.expr(f"nullif({c}, -9223372036854775808)").alias(n) for c, n in (("_id", "doc_id"), ("least", "component_id"))]

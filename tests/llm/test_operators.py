@@ -534,6 +534,53 @@ def test_a_large_group_of_near_copies_is_found_whole(spark):
         assert {r["doc_id"]: r["component_id"] for r in simhash.similar(df, many=many).collect()} == want
 
 
+def test_no_pair_is_lost_in_a_crowd_that_is_nearly_alike(spark):
+    # 150 texts that are about 0.72 alike each have a twin about 0.83 alike: in their many
+    # common buckets the leader is another text, too far from either
+    dice, rows = random.Random(6), []
+    base = [f"w{dice.randrange(10**6)}" for _ in range(304)]
+    for i in range(150):
+        t = list(base)
+        for at in dice.sample(range(5, 295, 12), 5):
+            t[at] = f"x{dice.randrange(10**6)}"
+        rows.append((2 * i, " ".join(t)))
+        for at in dice.sample([x for x in range(5, 295, 12) if t[x] == base[x]], 5):
+            t[at] = f"x{dice.randrange(10**6)}"
+        rows.append((2 * i + 1, " ".join(t)))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    want = groups(range(300), lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
+    assert len(set(want.values())) > 100
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for many in (16, 4096):  # members of prefixes that too many share, and none
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar(df, many=many).collect()} == want
+
+
+def test_sets_that_are_alike_meet_in_their_prefixes():
+    dice = np.random.default_rng(12)
+    sets = []
+    for _ in range(60):
+        base = np.unique(dice.integers(0, 2**64, int(dice.integers(1, 60)), dtype=np.uint64))
+        for edits in (0, 1, 2, 6):
+            sets.append(np.unique(np.concatenate([base[edits:], dice.integers(0, 2**64, int(dice.integers(0, edits + 1)), dtype=np.uint64)])))
+    sets = [h for h in sets if len(h)]
+    alike = {(x, y) for x in range(len(sets)) for y in range(x + 1, len(sets)) if simhash.jaccard(sets[x], sets[y]) >= 0.8}
+    assert any(simhash.jaccard(sets[x], sets[y]) == 0.8 for x, y in alike)
+    every = np.unique(np.concatenate(sets))
+    for common in (every[:0], every[::2], every):
+        rank = dice.permutation(len(common))
+        rows = sorted((int(k), len(h), p, i) for i, h in enumerate(sets) for p, k in enumerate(simhash.prefix(h, 0.8, common, rank)))
+        key, n, at, row = (np.array(c) for c in zip(*rows, strict=True))
+        bucket = np.unique(key.astype(np.uint64), return_inverse=True)[1]
+        for own in (np.ones(len(row), bool), row % 2 == 0):
+            x, y = simhash.crossing(bucket, n, at, row, own, 0.8)
+            met = {(min(i, j), max(i, j)) for i, j in zip(row[x].tolist(), row[y].tolist(), strict=True)}
+            assert {(x, y) for x, y in alike if own.all() or x % 2 == 0 or y % 2 == 0} <= met
+        assert not len(simhash.crossing(bucket, n, at, row * 0, own, 0.8)[0])
+    for x, y in alike:
+        bits = (np.frombuffer(simhash.parity(sets[i]), np.uint64) for i in (x, y))
+        assert np.bitwise_count(next(bits) ^ next(bits)).sum() <= len(np.setxor1d(sets[x], sets[y]))
+
+
 def test_representatives_keep_a_row_of_each_group_whatever_the_ids(spark):
     dice = random.Random(8)
     texts = [" ".join(f"w{dice.randrange(10**6)}" for _ in range(60)) for _ in range(30)]
