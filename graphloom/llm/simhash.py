@@ -127,7 +127,6 @@ FEW = 6  # rows of a bucket up to which all its pairs are candidates
 CHANCE = 256  # rows that may share a key by chance before keys get wider
 SAMPLE = 8192  # texts whose shingles tell which are common
 COMMON = 100_000  # shingles at most that are held to be common
-PARITY = 1024  # bits that bound how much two sets differ
 _NEAR = 1e-9  # what rounding may take from a bound
 _ODD = 2 * np.arange(WORDS, dtype=np.uint64) + np.uint64(1)
 _STEP = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -170,9 +169,21 @@ def prefix(h: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarra
 
 
 def parity(h: np.ndarray) -> bytes:
-    """Of each of :data:`PARITY` classes, whether the set has an odd number of members in
-    it. Two sets differ in as many members as bits, or more."""
-    return np.packbits(np.bincount((h % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+    """Of each of two to four classes a member, by the last bits of its hash, whether the
+    set has an odd number of members in it."""
+    many = max(64, 1 << (2 * len(h)).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(many - 1)).astype(np.int64), minlength=many) & 1).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """In how many members two sets differ at least, from their parities: each class
+    that differs holds one. Halves of the wider one are folded, as classes are."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(p) > len(q):
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum(dtype=np.int64))
 
 
 def agreement(similarity: float) -> float:
@@ -449,12 +460,10 @@ def _missed(nodes: DataFrame, similarity: float, many: int) -> DataFrame:
 
     def able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("pa", "pb"))
+            least = np.array([apart(x, y) for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True)], np.int64)
             sizes = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
-            may = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= sizes - 2 * least_common(sizes, similarity)
-            yield batch.select(["a", "b", "ra", "rb"]).filter(pa.array(may))
+            may = least <= sizes - 2 * least_common(sizes, similarity)
+            yield batch.select(["a", "b", "ra", "rb"]).filter(pa.array(may, pa.bool_()))
 
     rows = nodes.select("node", "root", "n", F.posexplode("prefix").alias("at", "key"))
     total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
