@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from .common import saved
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """``node, root`` for each node of ``a, b`` edges but the roots themselves;
-    ``root`` is the least node that it reaches."""
-    now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
+    ``root`` is the least node that it reaches. ``rows``: about how many edges there
+    are, where few tasks are to write few of them (see :func:`saved`)."""
+    now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links", rows)
     last = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,8 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        now = saved(small, "links")
+        now = saved(small, "links", rows)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         if tuple(state) == last and state[0] == state[2]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         last = tuple(state)
+        rows = rows if rows is None else state[0]

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, saved, texts
+from .common import as_bytes, lean, saved, texts
 from .word_bpe import word_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
             nth += len(out[0])
             yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), numbers], names=[x.split()[0] for x in NUMBERED.split(", ")])
 
-    return texts(docs).mapInArrow(run, NUMBERED)
+    return texts(docs).mapInArrow(lean(run, keep=True), NUMBERED)
 
 
 class Packing:

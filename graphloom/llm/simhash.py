@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, lists, saved, texts
+from .common import as_bytes, lean, lists, saved, texts
 from .components import components
 from .repeats import mixed
 
@@ -127,6 +127,7 @@ FEW = 6  # rows of a bucket up to which all its pairs are candidates
 CHANCE = 256  # rows that may share a key by chance before keys get wider
 SAMPLE = 8192  # texts whose shingles tell which are common
 COMMON = 100_000  # shingles at most that are held to be common
+PAIRS = 1 << 17  # pairs that a task holds at once
 _NEAR = 1e-9  # what rounding may take from a bound
 _ODD = 2 * np.arange(WORDS, dtype=np.uint64) + np.uint64(1)
 _STEP = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -303,13 +304,20 @@ def buckets(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], most: int
         yield held, bounds(held), not broken
 
 
-def crossing(bucket: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, own: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def crossing(*rows, **limits) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of :func:`crossings`."""
+    a, b = zip(*crossings(*rows, **limits), strict=True)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def crossings(bucket: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, own: np.ndarray, similarity: float, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows that meet in a bucket, are in different groups and may be alike. A row is the
     member at place ``at`` of a set of ``n``; rows of a bucket are in order of ``n``. If it
     is the first that two sets share, they share no more than what follows it in either.
-    Of two rows one must be the bucket's ``own``."""
+    Of two rows one must be the bucket's ``own``. As pairs grow with the square of a
+    crowd, they come ``most`` at a time, and at most one more for each row."""
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    i, step = np.arange(len(bucket)), 1
+    i, step, held = np.arange(len(bucket)), 1, 0
     while len(i := i[: np.searchsorted(i, len(bucket) - step)]):
         j = i + step
         stay = (bucket[i] == bucket[j]) & (n[i] >= similarity * n[j] - _NEAR)  # else no later row is alike
@@ -317,8 +325,13 @@ def crossing(bucket: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray
         met = (root[i] != root[j]) & (own[i] | own[j]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= least_common(n[i] + n[j], similarity))
         a.append(i[met])
         b.append(j[met])
+        held += len(a[-1])
         step += 1
-    return np.concatenate(a), np.concatenate(b)
+        if held >= most:
+            yield np.concatenate(a), np.concatenate(b)
+            a, b, held = [], [], 0
+    if a:
+        yield np.concatenate(a), np.concatenate(b)
 
 
 _SKETCH = tuple(f"s{i}" for i in range(SKETCH))
@@ -344,7 +357,7 @@ def _keyed(nodes: DataFrame, bits: np.ndarray) -> DataFrame:
                 sketch = raw.view(np.int64).reshape(-1, WORDS)[:, :SKETCH][at]
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column("node").take(pa.array(at)), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)], names=["key", "node", *_SKETCH])
 
-    return nodes.select("node", "fp").mapInArrow(split, "key long, node long, " + ", ".join(f"{c} long" for c in _SKETCH))
+    return nodes.select("node", "fp").mapInArrow(lean(split), "key long, node long, " + ", ".join(f"{c} long" for c in _SKETCH))
 
 
 def _candidates(nodes: DataFrame, bits: np.ndarray, count: int, far: int, many: int) -> DataFrame:
@@ -375,7 +388,7 @@ def _candidates(nodes: DataFrame, bits: np.ndarray, count: int, far: int, many:
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64()), keys], names=["a", "b", "key"])
 
     work = _dealt(_keyed(nodes, bits), _keyed(nodes.filter("pmod(xxhash64(node), 8) = 0"), bits), count * len(bits), 8, many)
-    return work.mapInArrow(compare, "a long, b long, key long").distinct()
+    return work.mapInArrow(lean(compare), "a long, b long, key long").distinct()
 
 
 def _dealt(rows: DataFrame, some: DataFrame, total: int, times: int, many: int) -> DataFrame:
@@ -390,7 +403,7 @@ def _dealt(rows: DataFrame, some: DataFrame, total: int, times: int, many: int)
     return rows.repartition("key", "part").sortWithinPartitions("key", "part")
 
 
-def _again(nodes: DataFrame, bits: np.ndarray, keys: DataFrame, roots: DataFrame, far: int, many: int) -> DataFrame:
+def _again(nodes: DataFrame, bits: np.ndarray, count: int, keys: DataFrame, roots: DataFrame, far: int, many: int) -> DataFrame:
     """``a, b`` of buckets that hold several groups still: of each two groups with
     near rows, the two nearest. Where a bucket is too large to be compared at once,
     the row with the least node stands for its group there."""
@@ -403,7 +416,7 @@ def _again(nodes: DataFrame, bits: np.ndarray, keys: DataFrame, roots: DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     rows = _keyed(nodes, bits).join(keys, "key").join(roots, "node", "left")
-    rows = saved(rows.withColumn("root", F.coalesce("root", "node")), "open")
+    rows = saved(rows.withColumn("root", F.coalesce("root", "node")), "open", count)
     several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     rows = rows.join(several.select("key", "many"), "key")
     large = rows.filter(F.col("many") > many).groupBy("key", "root").agg(F.min(F.struct("node", *_SKETCH)).alias("row")).select("key", "root", "row.*")
@@ -415,10 +428,10 @@ def _again(nodes: DataFrame, bits: np.ndarray, keys: DataFrame, roots: DataFrame
     small = rows.filter(F.col("many") <= many).withColumns({"ta": F.lit(0), "tb": F.lit(0)})
     columns = ["key", "ta", "tb", "node", "root", *_SKETCH]
     work = small.select(*columns).unionByName(large.select(*columns))
-    return work.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
+    return work.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb").mapInArrow(lean(compare), "a long, b long").distinct()
 
 
-def _common(text: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _common(text: DataFrame, total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles, sorted, and the rank of each, rarer ones first, from a sample of
     about :data:`SAMPLE` texts. They only set an order (see :func:`prefix`)."""
 
@@ -428,8 +441,8 @@ def _common(text: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             h, many = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(many)], names=["h", "many"])
 
-    times = -(-text.count() // SAMPLE) or 1
-    some = text.filter(F.pmod(F.xxhash64("_id", "_h"), F.lit(times)) == 0).select("text").mapInArrow(run, "h long, many long")
+    times = -(-total // SAMPLE) or 1
+    some = text.filter(F.pmod(F.xxhash64("_id", "_h"), F.lit(times)) == 0).select("text").mapInArrow(lean(run), "h long, many long")
     often = some.groupBy("h").agg(F.sum("many").alias("many")).filter(F.col("many") >= max(4, 64 // times))
     found = often.orderBy(F.desc("many"), "h").limit(COMMON).toArrow()
     h = found.column("h").to_numpy().view(np.uint64)
@@ -437,7 +450,7 @@ def _common(text: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], -order
 
 
-def _missed(nodes: DataFrame, similarity: float, many: int) -> DataFrame:
+def _missed(nodes: DataFrame, count: int, similarity: float, many: int) -> DataFrame:
     """``a, b, ra, rb``: every two nodes of different groups (``root``) that may be alike.
 
     Sets that are alike share a member of their prefixes, so nodes meet at each member of
@@ -453,10 +466,10 @@ def _missed(nodes: DataFrame, similarity: float, many: int) -> DataFrame:
                 continue
             bucket, root = np.repeat(np.arange(len(edge) - 1), np.diff(edge))[rows], root[rows]
             node, n, at, own = (table.column(c).to_numpy()[rows] for c in ("node", "n", "at", "own"))
-            x, y = crossing(bucket, n.astype(np.int64), at, root, own.astype(bool), similarity)
-            x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
-            found = np.unique(np.stack([node[x], node[y], root[x], root[y]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in found.T], names=["a", "b", "ra", "rb"])
+            for x, y in crossings(bucket, n.astype(np.int64), at, root, own.astype(bool), similarity):
+                x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+                found = np.unique(np.stack([node[x], node[y], root[x], root[y]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in found.T], names=["a", "b", "ra", "rb"])
 
     def able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -479,10 +492,10 @@ def _missed(nodes: DataFrame, similarity: float, many: int) -> DataFrame:
     calm = rows.join(hot, "key", "left_anti").withColumns({"part": F.lit(0), "own": F.lit(1)})
     columns = ["key", "part", "n", "at", "own", "node", "root"]
     work = calm.select(*columns).unionByName(crowd.select(*columns)).repartition("key", "part").sortWithinPartitions("key", "part", "n")
-    pairs = saved(work.mapInArrow(compare, "a long, b long, ra long, rb long").distinct(), "crossing")
+    pairs = saved(work.mapInArrow(lean(compare), "a long, b long, ra long, rb long").distinct(), "crossing", count)
     size = nodes.select("node", "n", "parity")
     pairs = pairs.join(size.toDF("a", "na", "pa"), "a").join(size.toDF("b", "nb", "pb"), "b")
-    return pairs.mapInArrow(able, "a long, b long, ra long, rb long")
+    return pairs.mapInArrow(lean(able), "a long, b long, ra long, rb long")
 
 
 def _groups(docs: DataFrame, size: int, similarity: float, many: int) -> DataFrame:
@@ -511,19 +524,20 @@ def _groups(docs: DataFrame, size: int, similarity: float, many: int) -> DataFra
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = nodes.join(ends, "node", "left_semi").select("node", "_id", "_h")
-        there = saved(text.join(wanted, ["_id", "_h"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+        there = saved(text.join(wanted, ["_id", "_h"]).dropDuplicates(["node"]).select("node", "text"), "texts", count)
         both = pairs.join(there.toDF("a", "ta"), "a").join(there.toDF("b", "tb"), "b")
-        return saved(both.select(*pairs.columns, "ta", "tb").mapInArrow(verify, pairs.schema), "links")
+        return saved(both.select(*pairs.columns, "ta", "tb").mapInArrow(lean(verify), pairs.schema), "links", count)
 
     text = texts(docs, "_id", "_h").drop("doc_id")
-    common, rank = _common(text, size)
-    each = saved(text.mapInArrow(sign, "_id long, _h long, fp binary, s long, n int, parity binary, prefix array<long>"), "simhash")
+    total = text.count()
+    common, rank = _common(text, total, size)
+    each = saved(text.mapInArrow(lean(sign), "_id long, _h long, fp binary, s long, n int, parity binary, prefix array<long>"), "simhash")
     nodes = each.groupBy("fp", "s").agg(F.min(F.struct("_id", "_h")).alias("row"), *(F.first(c).alias(c) for c in ("n", "parity", "prefix")))
     nodes = nodes.select("fp", "s", "row.*", "n", "parity", "prefix")
-    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", total)
     count = nodes.count()
     bits, far = block_bits(count, similarity), far_bits(similarity)
-    found = saved(_candidates(nodes, bits, count, far, many), "pairs")
+    found = saved(_candidates(nodes, bits, count, far, many), "pairs", count)
     open_, pairs = found.filter("key is not null").select("key"), found.filter("key is null").select("a", "b")
     some_open = not open_.isEmpty()
     links = roots = None
@@ -532,15 +546,15 @@ def _groups(docs: DataFrame, size: int, similarity: float, many: int) -> DataFra
         if links is not None and new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)
-        roots = components(links)
+        roots = components(links, count)
         if not some_open:
             break
-        pairs = saved(_again(nodes, bits, open_, roots, far, many), "pairs")
-    nodes = saved(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")
-    new = verified(saved(_missed(nodes, similarity, many), "pairs"))
-    joined = components(new.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).toDF("root", "least")
+        pairs = saved(_again(nodes, bits, count, open_, roots, far, many), "pairs", count)
+    nodes = saved(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes", count)
+    new = verified(saved(_missed(nodes, count, similarity, many), "pairs", count))
+    joined = components(new.select(F.col("ra").alias("a"), F.col("rb").alias("b")), count).toDF("root", "least")
     roots = nodes.join(joined, "root", "left").select("fp", "s", F.coalesce("least", "root").alias("root"))
-    return saved(each.select("_id", "_h", "fp", "s").join(roots, ["fp", "s"]).select("_id", "_h", "root"), "groups")
+    return saved(each.select("_id", "_h", "fp", "s").join(roots, ["fp", "s"]).select("_id", "_h", "root"), "groups", total)
 
 
 def _marked(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from graphloom.llm import byte_bpe, components, fingerprint, license_scan, log_suffix, packing, pivots, quality, repeats, simhash, suffix_tree, wavelet, word_bpe
+from graphloom.llm import byte_bpe, common, components, fingerprint, license_scan, log_suffix, packing, pivots, quality, repeats, simhash, suffix_tree, wavelet, word_bpe
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, ranges string, score string"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -798,6 +798,46 @@ def test_network_sees_the_whole_text():
 # -- 10 ---------------------------------------------------------------------------------------------
 
 
+def test_pairs_of_a_crowd_come_a_few_at_a_time():
+    many = 1500
+    bucket, n, at, own = np.zeros(many, np.int64), np.full(many, 50), np.zeros(many, np.int64), np.ones(many, bool)
+    parts = list(simhash.crossings(bucket, n, at, np.arange(many), own, 0.8, most=1000))
+    assert max(len(a) for a, _ in parts) < 1000 + many
+    assert len({(x, y) for a, b in parts for x, y in zip(a.tolist(), b.tolist(), strict=True)}) == many * (many - 1) // 2
+    assert sum(len(a) for a, _ in parts) == many * (many - 1) // 2
+
+
+def test_a_task_gives_back_what_others_left_in_its_worker():
+    for keep in (True, False):
+        word_bpe.word_encoder(WORD_BPE)
+        before = word_bpe.word_encoder.cache_info().currsize
+        run = common.lean(lambda batches: (2 * x for x in batches), keep)
+        assert before and list(run(iter([1, 2]))) == [2, 4]
+        assert word_bpe.word_encoder.cache_info().currsize == before * keep
+
+
+def test_few_tasks_write_a_small_table(spark, tmp_path, monkeypatch):
+    """A file costs several processes, so 64 tasks write no 64 files of a few rows."""
+    dice = random.Random(2)
+    words = [str(i) for i in range(900)]
+    texts = [" ".join(dice.choices(words, k=30)) for _ in range(60)]
+    texts += [t + " end" for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar(df).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == {i: i % 60 for i in range(120)}
+    made = [(p.name.split("-")[0], len(list(p.glob("*.parquet")))) for p in tmp_path.iterdir()]
+    assert {"nodes", "pairs", "texts", "links", "groups"} <= {name for name, _ in made}
+    assert [x for x in made if x[1] > 1 and x[0] != "simhash"] == []
+
+
 def test_pivot_index(spark):
     dice = np.random.default_rng(8)
     rows = []
